@@ -93,5 +93,6 @@ def token_counts(docs: DataFrame, cache: DigestCache, model: str, *, id_col: str
     misses = keyed.join(known, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     texts = docs.select(F.col(id_col).alias("doc_id"), content.alias("content"), digest.alias("digest"))
     chosen = texts.join(misses.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    cache.append(chosen.select("digest", "content").mapInArrow(encode, cache.schema), version)
+    counts = chosen.select("digest", "content").mapInArrow(encode, cache.schema)
+    cache.append(counts.dropDuplicates(["digest"]), version)  # equal rows, id and all, are encoded each
     return keyed.join(cache.read(version), "digest").select("doc_id", "digest", "n_bytes", "n_tokens")

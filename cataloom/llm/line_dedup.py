@@ -96,7 +96,7 @@ class LineIndex:
         refs.write.parquet(f"{to}/refs")
         refs = self.spark.read.schema(_REFS).parquet(f"{to}/refs")
 
-        def per_shard(key, old: pa.Table, new: pa.Table) -> pa.Table:
+        def per_shard(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
             keys = _mixed(_rows_of(new)[0])
             filt = CuckooFilter.loads(old.column("blob")[0].as_py(), old.column("held")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(len(keys))
             ok = change(filt, keys)
@@ -105,7 +105,7 @@ class LineIndex:
         changed = materialize(self.filters().groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(per_shard, _FILTERS), "filters")
         full = changed.where("held < 0").select("shard")
 
-        def rebuild(key, table: pa.Table) -> pa.Table:
+        def rebuild(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             keys, room = _mixed(_rows_of(table)[0]), table.num_rows
             while not (filt := CuckooFilter.for_keys(room)).insert(keys):
                 room *= 2
@@ -134,7 +134,7 @@ class LineIndex:
             return
         counted = counted.select(self._shard(), "k1", "k2", "refs", "first_doc")
 
-        def probe(key, filters: pa.Table, table: pa.Table) -> pa.Table:
+        def probe(key: tuple[pa.Scalar, ...], filters: pa.Table, table: pa.Table) -> pa.Table:
             keys = _mixed(_rows_of(table)[0])
             held = np.zeros(len(keys), bool)
             if filters.num_rows:

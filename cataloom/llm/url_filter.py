@@ -65,26 +65,27 @@ def train(labelled: DataFrame, grams: Ngrams = Ngrams()) -> tuple[list[float], f
     Gradient steps run over the rows in the order of their hash, so reruns agree. Without rows all weights are zero.
     """
     rows = labelled.where("label is not null").select(F.xxhash64("url", "label").alias("h"), slots(host(F.col("url")), path(F.col("url")), grams).alias("s"), F.col("label").cast("double").alias("y"))
-    kept = rows.orderBy("h").limit(grams.most_rows)
-    examples = F.array_sort(F.collect_list(F.struct("h", "s", "y")))
-    start = F.struct(F.array_repeat(F.lit(0.0), grams.slots + 1).alias("w"))
-
-    def step(state: Column, x: Column) -> Column:
-        weights = state["w"]
-        n = F.greatest(F.size(x["s"]), F.lit(1)).cast("double")
-        z = _margin(x["s"], weights, F.get(weights, F.lit(grams.slots)))
-        error = x["y"] - 1 / (1 + F.exp(-z))
-        hits = F.map_from_entries(F.transform(F.array_distinct(x["s"]), lambda s: F.struct(s, F.size(F.filter(x["s"], lambda t: t == s)).cast("double"))))
-        moved = F.transform(
-            weights,
-            lambda w, i: w * (1 - grams.shrink)
-            + F.lit(grams.rate) * error * F.when(i == grams.slots, F.lit(0.1)).otherwise(F.coalesce(F.try_element_at(hits, i), F.lit(0.0)) / n),
-        )
-        return F.struct(moved.alias("w"))
+    n = F.greatest(F.size("s"), F.lit(1))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(grams.slots - 1)), lambda i: F.size(F.filter("s", lambda t: t == i)) / n)
+    kept = rows.orderBy("h").limit(grams.most_rows).select("h", F.concat(dense, F.array(F.lit(_BIAS))).alias("x"), "y")
+    examples = F.array_sort(F.collect_list(F.struct("h", "x", "y")))
+
+    def step(weights: Column, e: Column) -> Column:
+        margin = F.aggregate(F.zip_with(weights, e["x"], lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v)
+        return _let(grams.rate * (e["y"] - 1 / (1 + F.exp(-margin))), lambda gain: F.zip_with(weights, e["x"], lambda w, x: w * (1 - grams.shrink) + gain * x))
 
     again = F.flatten(F.array_repeat(F.col("xs"), grams.epochs))
-    fitted = kept.agg(examples.alias("xs")).select(F.aggregate(again, start, step)["w"].alias("w")).first()["w"]
-    return list(fitted[:-1]), fitted[-1]
+    fitted = kept.agg(examples.alias("xs")).select(F.aggregate(again, F.array_repeat(F.lit(0.0), grams.slots + 1), step).alias("w")).first()["w"]
+    return list(fitted[:-1]), fitted[-1] * _BIAS
+
+
+#: What stands for the bias in a row's features; small, as it is the same in all rows.
+_BIAS = 0.3
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
@@ -102,7 +103,7 @@ def judge(urls: DataFrame, model: tuple[list[float], float], rules: list[tuple[s
     have an empty host and path. Repeated rows stay; empty tables give no rows; other columns are not read.
     """
     weights, bias = model
-    constant = F.transform(F.split(F.lit(",".join(map(repr, weights))), ","), lambda w: w.cast("double"))
+    constant = F.array(*map(F.lit, weights))  # literals alone, so it is folded to one constant
     rows = urls.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")

@@ -71,3 +71,35 @@ def recent_queries(jobs: DataFrame, jobs_read: int = 10, most: int = 5) -> DataF
 def wishlist(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items with their product; missing marks products that are gone."""
     return items.join(products.withColumnRenamed("id", "product_id"), "product_id", "left").withColumn("missing", F.col("name").isNull())
+
+
+#: What an operator's console shows of a shop; columns that a table lacks are null.
+CONSOLE = ["slug", "name", "base_url", "sitemap_url", "platform", "requires_js", "categories", "status", "health", "consecutive_failures", "needs_retry", "last_indexed_at", "last_indexed_count", "last_error"]
+
+
+def shop_console(shops: DataFrame) -> DataFrame:
+    """The console's fourteen columns of each shop, by slug."""
+    return shops.select(*[F.col(c) if c in shops.columns else F.lit(None).cast("string").alias(c) for c in CONSOLE]).orderBy("slug")
+
+
+def site_kinds(sites: DataFrame) -> DataFrame:
+    """(slug, name, kind): generic for the extractor of that slug, else site-specific."""
+    return sites.select("slug", "name", F.when(F.col("slug") == "generic", "generic").otherwise("site-specific").alias("kind"))
+
+
+def newest(rows: DataFrame, column: str, key: str, limit: int, most: int) -> DataFrame:
+    """The newest rows by an instant and a key that breaks ties, 1 to most of them: audit entries, index runs, searches."""
+    return rows.orderBy(F.desc(column), F.desc(key)).limit(max(1, min(most, limit)))
+
+
+def canary_summary(checks: DataFrame) -> DataFrame:
+    """(checks, failed, slowest_ms, ok) of probe searches (query, total, latency_ms, error): ok if each found something without an error."""
+    good = F.col("error").isNull() & (F.coalesce("total", F.lit(0)) > 0)
+    return checks.agg(F.count("*").alias("checks"), F.count_if(~good).alias("failed"), F.max("latency_ms").alias("slowest_ms"), F.coalesce(F.bool_and(good), F.lit(False)).alias("ok"))
+
+
+def catalog_totals(products: DataFrame, reviews: DataFrame, history: DataFrame) -> DataFrame:
+    """(products, reviews, history): row counts, from file footers where nothing else is read."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one = F.lit(1).alias("one")
+    return count(products, "products").select(one, "products").join(count(reviews, "reviews").select(one, "reviews"), "one").join(count(history, "history").select(one, "history"), "one").drop("one")

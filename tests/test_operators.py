@@ -218,3 +218,14 @@ def test_streams(spark, tmp_path):
     assert [r.allowed for r in spark.table("limited").orderBy("id").collect()] == [True, True, True, False]
     ev = ev.withColumn("type", F.lit("view")).withColumnRenamed("key", "actor")
     assert stream_events.rolling_counts(ev).agg(F.max("n")).first()[0] == 4
+
+
+def test_console(spark):
+    shops = spark.createDataFrame([("b", "B", "active"), ("generic", "G", None)], "slug string, name string, status string")
+    got = lookups.shop_console(shops)
+    assert got.columns == lookups.CONSOLE and [r.slug for r in got.collect()] == ["b", "generic"]
+    assert [r.kind for r in lookups.site_kinds(shops).orderBy("slug").collect()] == ["site-specific", "generic"]
+    checks = spark.createDataFrame([("tv", 3, 10, None), ("ac", 0, 30, None)], "query string, total int, latency_ms int, error string")
+    assert rows(lookups.canary_summary(checks)) == [(2, 1, 30, False)] and rows(lookups.canary_summary(checks.limit(0))) == [(0, 0, None, False)]
+    assert rows(lookups.catalog_totals(shops, checks, shops)) == [(2, 2, 2)]
+    assert [r.query for r in lookups.newest(checks, "latency_ms", "query", 0, 9).collect()] == ["ac"]

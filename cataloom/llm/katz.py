@@ -110,8 +110,8 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     p1 = F.when(F.col("c") <= K, F.get(F.array(*[F.lit(d.get(r, 1.0)) for r in range(K + 1)]), F.least(F.col("c"), F.lit(K)).cast("int"))).otherwise(1.0) * F.col("c") / float(max(n, 1)) * keep
     counted.select("word", "c", F.log10(p1).alias("log10_p")).write.parquet(f"{folder}/order=1")
     share = lambda x: math.ceil(x * n)
-    hot_rows = counted.where(F.col("c") >= max(1, share(HOT_SHARE))).collect() if n else []  # 1 / HOT_SHARE rows at most
-    hot = {r["word"]: r["c"] for r in hot_rows}
+    frequent = counted.where(F.col("c") >= max(1, share(HOT_SHARE))).toArrow()  # 1 / HOT_SHARE rows at most
+    hot = dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist()))
     classes = sorted(w for w, c in hot.items() if c >= share(CLASS_SHARE))
     rare, begin = len(classes), len(classes) + 1
     prob = lambda c: (d.get(c, 1.0)) * c / n * keep
@@ -136,21 +136,19 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((k // size).astype(np.int32)), pa.array((k % size).astype(np.int32)), pa.array(total[k])], ["history", "word", "c"])
 
-    counts = texts.mapInArrow(pairs, "history int, word int, c long").groupBy("history", "word").agg(F.sum("c").alias("c")).collect()  # (1 / CLASS_SHARE + 2) squared rows at most
+    counts = texts.mapInArrow(pairs, "history int, word int, c long").groupBy("history", "word").agg(F.sum("c").alias("c")).toArrow()  # (1 / CLASS_SHARE + 2) squared rows at most
     table, rows = _backoff(counts, class_p, rare)
-    spark.createDataFrame(rows, "history int, word int, c long, log10_p double, log10_backoff double").coalesce(1).write.parquet(f"{folder}/order=2")
+    spark.createDataFrame(rows).write.parquet(f"{folder}/order=2")
     return Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot)
 
 
-def _backoff(counts: list, class_p: np.ndarray, rare: int) -> tuple[np.ndarray, list[tuple]]:
+def _backoff(counts: pa.Table, class_p: np.ndarray, rare: int) -> tuple[np.ndarray, pa.Table]:
     """The table of log10 P(class | history), each row of which sums to one, and the stored rows of what was seen."""
     size = rare + 2
     c = np.zeros((size, size - 1))
-    for r in counts:
-        c[r["history"], r["word"]] = r["c"]
+    c[counts.column("history").to_numpy(), counts.column("word").to_numpy()] = counts.column("c").to_numpy()
     seen = c > 0
-    of = Counter(int(x) for x in c[seen & (c <= K + 1)])
-    d = good_turing(of)
+    d = good_turing(Counter(c[seen & (c <= K + 1)].astype(int).tolist()))
     factor = np.ones_like(c)
     for r, x in d.items():
         factor[c == r] = x
@@ -168,8 +166,8 @@ def _backoff(counts: list, class_p: np.ndarray, rare: int) -> tuple[np.ndarray,
     full = np.where(seen, p, weight[:, None] * class_p)
     log = np.log10(np.maximum(full, 1e-300))
     backoff = np.log10(np.maximum(weight, 1e-300))
-    rows = [(int(h), int(w), int(c[h, w]), float(log[h, w]), float(backoff[h])) for h, w in np.argwhere(seen)]
-    return log, rows
+    h, w = np.nonzero(seen)
+    return log, pa.table({"history": h.astype(np.int32), "word": w.astype(np.int32), "c": c[h, w].astype(np.int64), "log10_p": log[h, w], "log10_backoff": backoff[h]})
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

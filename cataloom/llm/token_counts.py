@@ -90,9 +90,10 @@ def token_counts(docs: DataFrame, cache: DigestCache, model: str, *, id_col: str
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
     keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
     known = cache.read(version)
-    misses = keyed.join(known, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known, "digest", "left_anti")
     texts = docs.select(F.col(id_col).alias("doc_id"), content.alias("content"), digest.alias("digest"))
     chosen = texts.join(misses.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     counts = chosen.select("digest", "content").mapInArrow(encode, cache.schema)
     cache.append(counts.dropDuplicates(["digest"]), version)  # equal rows, id and all, are encoded each
-    return keyed.join(cache.read(version), "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
+    stored = materialize(cache.read(version), "counts")  # a plain table beside the hot digests, so their join can be split
+    return keyed.join(stored, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")

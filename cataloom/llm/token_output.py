@@ -27,31 +27,47 @@ BROADCAST_PARTS = 200_000
 _AFTER_BLACK = re.compile(r"(?<=\S) ")
 
 
-class _Words(dict):
-    """Ids of words that follow a space, as bytes; None for what must not be cut off there."""
+#: A word of Latin letters and what may follow it: marks, and one more such word on the next line.
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_PLAIN = re.compile(rf"({_LATIN})([.,;:!?]*)(?:\n({_LATIN})([.,;:!?]*))?")
+_LONGEST = 64
 
-    MOST, LONGEST = 300_000, 48
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+class _Known:
+    """A bounded map in two halves: when the young half is full it becomes the old one, and what is asked for again stays."""
 
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self.encode(" " + word) if word and not word[-1].isspace() else None
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = ids
-        return ids
+    MOST = 400_000
+
+    def __init__(self):
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        """Called between batches only: a batch's words must all stay in the young half."""
+        if len(self.young) > self.MOST:
+            self.old, self.young = self.young, {}
+
+    def absent(self, words: set[str]) -> set[str]:
+        """Those that are not known; the others are in the young half afterwards."""
+        young, old = self.young, self.old
+        left = set()
+        for w in words:  # not by set operations with the maps' keys, which walk through the larger side
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    left.add(w)
+        return left
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts, with words remembered.
 
     A byte-level pre-tokenizer always cuts before a space that follows anything but white space, and what it does after
-    the cut does not depend on what stands before. So such stretches are encoded one by one, by the library, each once
-    while it is remembered. Texts with other white space before a space are cut by a pattern, fewer times. For tokenizers of
-    another kind texts are encoded whole.
+    the cut does not depend on what stands before. So words between spaces are encoded apart, by the library, once while
+    they are remembered: a plain word is one piece of the pre-tokenizer, so many new ones are encoded in one call and told
+    apart by the pieces their ids come from. Texts with other white space before a space are cut by a pattern, fewer times.
+    For tokenizers of another kind texts are encoded whole.
     """
 
     def __init__(self, model: str):
@@ -63,24 +79,95 @@ class Encoder:
         self.library.no_padding()
         added = self.library.get_added_tokens_decoder().values()
         self.cut = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.library.pre_tokenizer.add_prefix_space and self.library.normalizer is None
-        self.cut = self.cut and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added)
-        self.words = _Words(self._whole)
+        self.cut = self.cut and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content or t.content.isalpha() for t in added)
+        self.spaced, self.bare, self.odd, self.marks = _Known(), _Known(), _Known(), {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text or not self.cut:
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        if not first[-1:].isspace():
+    def _learn(self, known: _Known, words: list[str], before: str) -> None:
+        """Encode plain words, each after a space or at the start of a line, in one call."""
+        if not words:
+            return
+        found = self.library.encode("".join(before + w for w in words), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        step = 1 if before == " " else 2  # a line break is a piece of its own
+        bounds = np.searchsorted(of, np.arange(len(words) + 1) * step)
+        shift = step - 1
+        for k, w in enumerate(words):
+            known.young[w] = ids[bounds[k] + shift : bounds[k + 1]].tobytes()
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[marks] = self._whole(marks)
+        return self.marks[marks]
+
+    def _ids_of(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of words that follow a space; None stands for what must not be cut off there.
+
+        Only single words are remembered: with marks and line breaks they are too many, and are put together anew.
+        """
+        for known in (self.spaced, self.bare, self.odd):
+            known.turn()
+        found: dict[str, bytes | None] = {}
+        shapes, odd = [], set()
+        for w in words:
+            if len(w) <= _LONGEST and (m := _PLAIN.fullmatch(w)):
+                shapes.append((w, *m.groups()))
+            elif not w or w[-1].isspace():
+                found[w] = None
+            elif len(w) <= _LONGEST:
+                odd.add(w)
+            else:
+                found[w] = self._whole(" " + w)
+        for w in self.odd.absent(odd):
+            self.odd.young[w] = self._whole(" " + w)
+        self._learn(self.spaced, sorted(self.spaced.absent({x[1] for x in shapes})), " ")
+        self._learn(self.bare, sorted(self.bare.absent({x[3] for x in shapes if x[3]})), "\n")
+        spaced, bare, line = self.spaced.young, self.bare.young, self._mark("\n")
+        for w, a, marks, b, more in shapes:
+            ids = spaced[a] + self._mark(marks) if marks else spaced[a]
+            found[w] = ids + line + bare[b] + self._mark(more) if b else ids
+        for w in odd:
+            found[w] = self.odd.young[w]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.cut:
+            return [self._whole(t) for t in texts]
+        parts = [t.split(" ") for t in texts]
+        for k, (t, p) in enumerate(zip(texts, parts)):
+            if p[0][-1:].isspace():
+                parts[k] = _AFTER_BLACK.split(t)
+        known, out = self._ids_of(set().union(*[p[1:] for p in parts])), []
+        for t, (first, *rest) in zip(texts, parts):
             try:
-                return self._whole(first) + b"".join(map(self.words.__getitem__, rest))
+                ids = b"".join(map(known.__getitem__, rest))
             except TypeError:  # a None: white space of another kind, or more of it
-                pass
-        first, *rest = _AFTER_BLACK.split(text)
-        return self._whole(first) + b"".join(self._whole(" " + x) if not x or x[-1].isspace() else self.words[x] for x in rest)
+                first, *rest = _AFTER_BLACK.split(t)
+                ids = b"".join(self._whole(" " + w) for w in rest)
+            out.append(self._whole(first) + ids)
+        return out
+
+
+#: Bytes of text that are encoded at once: the words that they share are looked up once.
+_AT_ONCE = 4 << 20
+
+
+def _larger(batches):
+    """The same rows in batches of at least _AT_ONCE bytes, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _AT_ONCE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -105,8 +192,8 @@ def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_
 
     def encode(batches):
         e, part, start = encoder(model), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            found = [e.encode(t or "") + last for t in batch.column("text").to_pylist()]
+        for batch in _larger(batches):
+            found = [ids + last for ids in e.encode([t or "" for t in batch.column("text").to_pylist()])]
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))

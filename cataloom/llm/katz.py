@@ -1,35 +1,41 @@
 """Katz backoff with Good-Turing discounts and exactly normalised backoff weights.
 
-Unigrams are all words of the training texts, each with its count; unseen words share what discounting frees. Bigrams are
-counted over classes: a word whose relative frequency is at least CLASS_SHARE is a class of its own, all others are one
-class. At most 1 / CLASS_SHARE words can be that frequent, so the class table has a proven bound at any corpus size and
-is sent to every task, while the unigram table, which grows with the corpus, is stored in parts and joined.
+Bigrams and unigrams are all those of the training texts, each with its count; unseen words share what discounting frees.
+A bigram that was not seen backs off to Q(w | h) = P(class(w) | class(h)) P(w | class(w)), where a word whose relative
+frequency is at least CLASS_SHARE is a class of its own and all others are one: a lower order with a proven bound at any
+corpus size. Its first part backs off from class bigrams to unigrams, its second is one for frequent words and the word's
+discounted share of the rare class for others.
 
-log10 P(w | h) = log10 P(class(w) | class(h)) + log10 P(w | class(w)); the first backs off from bigrams to unigrams, the
-second is zero for frequent words and the word's discounted share of the rare class for others.
+Unigrams and bigrams grow with the corpus. They are dealt into buckets, as packed columns: a bigram by its history, or by
+both words where the history is a class, as such a history may be hot. Words go by keys: a small number for those of
+HOT_SHARE or more, else 62 bits of a hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.common import batches_of, materialize
 
-#: Least relative frequency of a word that is a class of its own; of a word whose count is broadcast; and of no other bound.
-CLASS_SHARE, HOT_SHARE = 1 / 2048, 2e-6
+#: Least relative frequency of a word that is a class of its own; of a word whose count is broadcast; of a bigram that is broadcast.
+CLASS_SHARE, HOT_SHARE, HOT_PAIR = 1 / 2048, 2e-6, 1e-5
 #: Counts up to this are discounted.
 K = 5
 #: The end of a text, among words: no word is empty.
 END = ""
 _FLUSH = 200_000
+#: Keys of words that are not broadcast start here; the key of a text's start; tokens that are dealt out at a time.
+_COLD, _BEGIN, _CHUNK = 1 << 62, -1, 1_500_000
 
 
 def good_turing(n_r: dict[int, int]) -> dict[int, float]:
@@ -66,6 +72,136 @@ class Model:
     #: log10 P(class | class before), by history.
     table: np.ndarray
     hot: dict[str, int]
+    #: Frequent words in key order, classes first; the number of buckets; the table order=2 as packed columns.
+    names: list[str]
+    buckets: int
+    bigrams: DataFrame
+    #: Discounts of bigrams; (log10 of their factor, log10 backoff) of class histories; log10 P - log10 Q of hot bigrams.
+    discounts2: dict[int, float]
+    histories: dict[int, tuple[float, float]]
+    gains: dict[tuple[int, int], float]
+
+
+def _hashed(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest()) >> 2 | _COLD
+
+
+class _Keys(dict):
+    """Keys by word; those of rare words are hashed when met."""
+
+    def __init__(self, known):
+        super().__init__(known)
+        self.full = len(known) + _FLUSH
+
+    def __missing__(self, word: bytes) -> int:
+        key = _hashed(word)
+        if len(self) < self.full:
+            self[word] = key
+        return key
+
+
+_PACKED = "bucket int, kind int, n long, blob binary"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of eight bytes, byte by byte, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, width: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, 8, n)
+    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in raw]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+
+
+def _bucket(h: np.ndarray, w: np.ndarray, rare: int, n: int) -> np.ndarray:
+    """The bucket of bigrams: a history's, and for class histories the pair's."""
+    x = _mixed(h)
+    return np.where(h < rare, _mixed(x + _mixed(w)), x) % np.uint64(n)
+
+
+def _dealt(kind: int, bucket: np.ndarray, *columns: np.ndarray):
+    """(bucket, kind, n, blob) of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    for b, at in zip(found, np.split(order, first[1:]) if len(found) else []):
+        yield int(b), kind, len(at), _pack(*[c[at] for c in columns])
+
+
+def _batch(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "kind", "n", "blob"])
+
+
+def _of_kind(rows: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """The columns of all blobs of a kind."""
+    parts = [_unpack(b, n, width) for k, n, b in zip(*[rows.column(c).to_pylist() for c in ("kind", "n", "blob")]) if k == kind]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * width
+
+
+def _unigram_blobs(rare_words: DataFrame, buckets: int) -> DataFrame:
+    """(key, count) of the words that are not broadcast, by key."""
+
+    def deal(batches):
+        key: list[int] = []
+        c: list[int] = []
+
+        def out():
+            k = np.array(key, np.int64)
+            return _batch(_dealt(0, _mixed(k) % np.uint64(buckets), k, np.array(c, np.int64)))
+
+        for batch in batches:
+            key += [_hashed(w.encode()) for w in batch.column(0).to_pylist()]
+            c += batch.column(1).to_pylist()
+            if len(key) > _FLUSH:
+                yield out()
+                key.clear(), c.clear()
+        yield out()
+
+    return rare_words.select("word", "c").mapInArrow(deal, _PACKED)
+
+
+def _counts_of(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """The counts of keys by (key, count); 0 where there is none."""
+    k, c = known
+    if not len(k):
+        return np.zeros(len(keys), np.int64)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    return np.where(k[at] == keys, c[at], 0)
+
+
+def _merged(h: np.ndarray, w: np.ndarray, *columns: np.ndarray):
+    """Each (h, w) once, sorted, and where it starts among the sorted columns."""
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[start], w[start], start, [c[order] for c in columns]
+
+
+def _factors(d: dict[int, float], c: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.array([d.get(r, 1.0) for r in range(K + 2)])[np.minimum(c, K + 1)] * c
+
+
+def _log_q(h, w, c, table, rare, d, total, keep, rare_p):
+    """log10 Q(w | h) of words with their counts c."""
+    inside = np.log10(np.maximum(_factors(d, c), 1e-300) / max(total, 1) * keep) - math.log10(rare_p)
+    return table[np.where(h < 0, rare + 1, np.minimum(h, rare)), np.minimum(w, rare)] + np.where(w < rare, 0.0, inside)
+
+
+def _weights(total, kept, lower):
+    """(log10 of the factor of seen bigrams, log10 backoff) of histories, from counts, discounted counts and Q of what was seen."""
+    left, over = 1 - kept / total, 1 - lower
+    none = over <= 1e-12  # every word was seen: nothing to back off to
+    factor = np.where(none, total / kept, np.where(left <= 1e-12, total / (total + 0.5), 1.0))  # nothing was freed: half a count is
+    left = np.maximum(1 - factor * kept / total, 1e-300)
+    return np.log10(factor), np.where(none, 0.0, np.log10(left / np.where(none, 1.0, over)))
 
 
 def _count_words(batches):
@@ -90,7 +226,7 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count all texts that are not held out and write the tables order=1 (word, c, log10_p) and order=2 (history, word, c, log10_p, log10_backoff).
+    """Count all texts that are not held out and write the tables order=1 (word, c, log10_p), order=classes (history, word, c, log10_p, log10_backoff), bigrams of classes, and order=2, packed bigrams of words by bucket.
 
     Null and empty texts are an end alone. Without training texts every word is unseen. Words are counted in each task and
     then by key; no key is hot, as a task sends a word once.
@@ -138,8 +274,94 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 
     counts = texts.mapInArrow(pairs, "history int, word int, c long").groupBy("history", "word").agg(F.sum("c").alias("c")).toArrow()  # (1 / CLASS_SHARE + 2) squared rows at most
     table, rows = _backoff(counts, class_p, rare)
-    spark.createDataFrame(rows).write.parquet(f"{folder}/order=2")
-    return Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot)
+    spark.createDataFrame(rows).write.parquet(f"{folder}/order=classes")
+    names = classes + sorted(hot.keys() - set(classes))
+    model = Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot, names, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), None, {}, {}, {})
+    _bigrams(texts, counted.where(F.col("c") < max(1, share(HOT_SHARE))), model)
+    return model
+
+
+def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
+    """Count the word bigrams into the table order=2 and set what is bounded of them.
+
+    Tasks combine equal pairs first. Pairs whose second word is rare meet that word's count in its bucket, then all pairs
+    of a bucket are summed. Class histories, split over buckets, are summed from one row of each bucket.
+    """
+    spark = texts.sparkSession
+    n, rare, buckets, d = model.tokens, len(model.classes), model.buckets, model.discounts
+    hot_pair = max(1, math.ceil(HOT_PAIR * n))
+    sent = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(model.names)}, np.array([model.hot[w] for w in model.names] + [0], np.int64), model.table))
+    keep, rare_p = model.keep, float(model.class_p[rare])
+
+    def pairs(cold: bool):
+        def deal(batches):
+            keys, counts, _ = sent.value
+            keys = _Keys(keys)
+            line: list[int] = []
+
+            def out():
+                a = np.array(line, np.int64)
+                ids, at = np.unique(a, return_inverse=True)
+                both = (at[:-1] * len(ids) + at[1:])[(a[1:] != _BEGIN) & ((a[1:] >= _COLD) == cold)]
+                both, c = np.unique(both, return_counts=True)
+                h, w = ids[both // len(ids)], ids[both % len(ids)]
+                if cold:
+                    return _batch(_dealt(1, _mixed(w) % np.uint64(buckets), h, w, c))
+                return _batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, counts[w]))
+
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    line.append(_BEGIN)
+                    if text:
+                        line += [keys[w] for w in text.encode().lower().split()]
+                    line.append(keys[b""])
+                    if len(line) > _CHUNK:
+                        yield out()
+                        line.clear()
+            if line:
+                yield out()
+
+        return texts.mapInArrow(deal, _PACKED)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        h, w, c = _of_kind(rows, 1, 3)
+        h, w, start, (c,) = _merged(h, w, c)
+        c = np.add.reduceat(c, start) if len(start) else c
+        return pa.Table.from_batches([_batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, _counts_of(w, _of_kind(rows, 0, 2))))])
+
+    def total(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        h, w, start, (c, wc) = _merged(*_of_kind(rows, 2, 4))
+        c, wc = np.add.reduceat(c, start), wc[start]
+        log_q = _log_q(h, w, wc, sent.value[2], rare, d, n, keep, rare_p)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sums = [np.add.reduceat(x.astype(np.float64), first) for x in (c, 10**log_q, *[c == r for r in range(1, K + 2)])]
+        many = c >= hot_pair
+        told = (h[first] < rare) | np.isin(h[first], h[many])
+        out = [(bucket, 3, int(h[first][i]), None, [float(x[i]) for x in sums], None) for i in np.flatnonzero(told)]
+        out += [(bucket, 4, int(h[i]), int(w[i]), [float(c[i]), float(log_q[i])], None) for i in np.flatnonzero(many)]
+        out += [(bucket, 5, None, None, [float(x.sum()) for x in sums], None), (bucket, 6, len(h), None, None, _pack(h, w, c, wc))]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["bucket", "kind", "h", "w", "sums", "blob"])
+
+    cold = pairs(True).unionByName(_unigram_blobs(rare_words, buckets)).groupBy("bucket").applyInArrow(meet, _PACKED)
+    found = pairs(False).unionByName(cold).groupBy("bucket").applyInArrow(total, "bucket int, kind int, h long, w long, sums array<double>, blob binary")
+    found.write.parquet(f"{model.folder}/order=2")
+    found = spark.read.schema(found.schema).parquet(f"{model.folder}/order=2")
+    model.bigrams = found.where("kind = 6").select("bucket", "kind", F.col("h").alias("n"), "blob")
+    at = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(K + 3)]
+    rest = found.where("kind = 5").agg(*at).first()
+    model.discounts2 = d2 = good_turing({r: int(rest[r + 1] or 0) for r in range(1, K + 2)})
+    sums = found.where("kind = 3").groupBy("h").agg(*at).toArrow()  # the classes, and those of hot bigrams: 1 / HOT_PAIR rows at most
+    h = sums.column("h").to_pylist()
+    c, lower, *of = (sums.column(f"s{i}").to_numpy() for i in range(K + 3))
+    factor, backoff = _weights(c, c - sum((1 - d2[r]) * r * of[r - 1] for r in range(1, K + 1)), lower)
+    count = dict(zip(h, c))
+    factors = dict(zip(h, factor))
+    model.histories = {k: (f - math.log10(x), b) for k, f, b, x in zip(h, factor, backoff, c) if k < rare}
+    for r in found.where("kind = 4").select("h", "w", "sums").toArrow().to_pylist():  # 1 / HOT_PAIR rows at most
+        x, log_q = r["sums"]
+        model.gains[r["h"], r["w"]] = math.log10(d2.get(int(x), 1.0) * x / count[r["h"]]) + factors[r["h"]] - log_q
 
 
 def _backoff(counts: pa.Table, class_p: np.ndarray, rare: int) -> tuple[np.ndarray, pa.Table]:
@@ -175,55 +397,132 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens, score the model's log10 probability of the text, end
     included. Null and empty texts are an end alone. Repeated rows stay, null ids are allowed, empty tables give no rows.
-    Tokens of words that are frequent are scored in place; the others, none of which can be hot, are joined with the
-    unigram table.
+    Frequent words and hot bigrams are scored in place; the others, none of which can be hot, go to the buckets of the
+    unigrams and bigrams, each as its key and its row. All sums of a row are then added.
     """
     spark = docs.sparkSession
     batches_of(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    n, v, rare = model.tokens, model.types, len(model.classes)
+    n, v, rare, buckets, d, d2, keep = model.tokens, model.types, len(model.classes), model.buckets, model.discounts, model.discounts2, model.keep
+    rare_p, unseen = float(model.class_p[rare]), math.log10(model.unseen)
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    at = {w: i for i, w in enumerate(model.classes)}
-    names = sorted(model.hot)
-    counts = np.array([model.hot[w] for w in names] + [0], np.float64)
-    d = np.array([model.discounts.get(int(c), 1.0) for c in counts])
-    is_rare = np.array([w not in at for w in names] + [False])
-    in_class = np.zeros(len(counts))
-    if n:
-        in_class[is_rare] = np.log10(d[is_rare] * counts[is_rare] / n * model.keep) - np.log10(model.class_p[rare])
-    sent = spark.sparkContext.broadcast(
-        ({w.encode(): i for i, w in enumerate(names)}, np.array([at.get(w, rare) for w in names] + [rare], np.int64), np.append(base_of(counts[:-1]), 0.0), in_class, model.table)
-    )
+    counts = np.array([model.hot[w] for w in model.names] + [0], np.int64)
+    hot = sorted(((h + 1) * len(counts) + w, x) for (h, w), x in model.gains.items())
+    hot_keys, hot_gains = np.array([k for k, _ in hot] + [1 << 62], np.int64), np.array([x for _, x in hot] + [0.0])
+    sent = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(model.names)}, counts, base_of(counts), model.table, hot_keys, hot_gains, model.histories))
+    names = ["bucket", "kind", "n", "blob", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+    schema = f"{_PACKED}, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def local(batches):
-        ids, classes, base, inner, table = sent.value
-        cold_id = len(base) - 1
-        end = ids.get(b"", cold_id)
+        keys, counts, base, table, hot_keys, hot_gains, _ = sent.value
+        m = len(counts)
+        keys = _Keys(keys)
         row = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
+        tokens = 0
+
+        def out():
+            nonlocal row
+            texts = [t for b in held for t in b.column(2).to_pylist()]
+            line: list[int] = []
+            size = []
+            for text in texts:
+                line.append(_BEGIN)
+                if text:
+                    line += [keys[w] for w in text.encode().lower().split()]
+                line.append(keys[b""])
+                size.append(len(line))
+            a = np.array(line, np.int64)
+            at = np.repeat(np.arange(len(texts)), np.diff(size, prepend=0))
+            here = np.flatnonzero(a != _BEGIN)
+            h, w, at = a[here - 1], a[here], at[here]
+            sums = lambda x, i=at: np.bincount(i, x, len(texts))
+            cold = w >= _COLD
+            i = np.where(cold, m - 1, w)
+            score = table[np.where(h < 0, rare + 1, np.minimum(h, rare)), np.minimum(w, rare)]
+            inner = ~cold & (w >= rare)
+            score[inner] += np.log10(_factors(d, counts[i[inner]]) / n * keep) - math.log10(rare_p)
+            warm = ~cold & (h < _COLD)
+            k = np.where(warm, (np.where(warm, h, 0) + 1) * m + i, -1)
+            spot = np.searchsorted(hot_keys, k)
+            known = hot_keys[spot] == k
+            score[known] += hot_gains[spot[known]]
+            rows = [*_dealt(7, _mixed(w[cold]) % np.uint64(buckets), w[cold], at[cold] + row)]
+            h, w, far = h[~known], w[~known], at[~known] + row
+            rows += _dealt(8, _bucket(h, w, rare, buckets), h, w, far)
+            packed = _batch(rows)
+            size = len(packed)
+            yield pa.RecordBatch.from_arrays([*packed.columns, *[pa.nulls(size, t) for t in (pa.int64(), held[0].column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
+            size = len(texts)
+            own = np.arange(row, row + size)
+            told = [pa.array(own % buckets, pa.int32()), pa.array(np.full(size, 9), pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(own)]
+            told += [pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)]
+            told += [pa.array(sums(np.ones(len(at))).astype(np.int64)), pa.array(sums(~cold).astype(np.int64)), pa.array(sums(np.where(cold, 0.0, base[i]))), pa.array(sums(score))]
+            yield pa.RecordBatch.from_arrays(told, names)
+            row += size
+
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(2).to_pylist():
-                found = text.encode().lower().split() if text else []
-                k = np.array([ids.get(w, cold_id) for w in found] + [end], np.int64)
-                c = classes[k]
-                total = table[np.r_[rare + 1, c[:-1]], c].sum() + inner[k].sum()
-                cold = [w.decode() for w, i in zip(found, k) if i == cold_id] if (k == cold_id).any() else []
-                if end == cold_id:
-                    cold.append(END)
-                for col, x in zip(cols, (row, len(k), int((k != cold_id).sum()), float(base[k].sum()), float(total), cold)):
-                    col.append(x)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(cols, kinds)]], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "cold"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    rows = materialize(rows.mapInArrow(local, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, cold array<string>"), "scored")
-    unigrams = spark.read.parquet(f"{model.folder}/order=1").select("word", "c", "log10_p")
-    cold = rows.select("row", F.explode("cold").alias("word")).join(unigrams, "word", "left")
-    seen = F.coalesce("c", F.lit(0))
-    inside = F.coalesce("log10_p", F.lit(math.log10(model.unseen))) - math.log10(float(model.class_p[rare]))
-    added = cold.groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10((seen + 0.5) / (n + 0.5 * (v + 1)))).alias("b"), F.sum(inside).alias("s"))
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    return rows.drop("cold").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score")
+            held.append(batch)
+            tokens += batch.column(2).nbytes // 6
+            if tokens > _CHUNK:
+                yield from out()
+                held, tokens = [], 0
+        if sum(map(len, held)):
+            yield from out()
+
+    def score_bucket(rows: pa.Table) -> pa.Table:
+        histories = sent.value[6]
+        table = sent.value[3]
+        w, at7 = _of_kind(rows, 7, 2)
+        c = _counts_of(w, _of_kind(rows, 0, 2))
+        inside = np.where(c > 0, np.log10(np.maximum(_factors(d, c), 1e-300) / max(n, 1) * keep), unseen) - math.log10(rare_p)
+        parts = [(at7, (c > 0).astype(np.float64), base_of(c), inside)]
+        h, w, c, wc = _of_kind(rows, 6, 4)
+        if len(h):
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            kept = _factors(d2, c)
+            log_q = _log_q(h, w, wc, table, rare, d, n, keep, rare_p)
+            total = np.add.reduceat(c, first)
+            factor, backoff = _weights(total, np.add.reduceat(kept, first), np.add.reduceat(10**log_q, first))
+            factor -= np.log10(total)
+            ids = h[first]
+            split = np.flatnonzero(ids < rare)  # class histories are in many buckets
+            if len(split):
+                factor[split], backoff[split] = np.array([histories[int(x)] for x in ids[split]]).T
+            gain = np.log10(kept) + np.repeat(factor, np.diff(np.r_[first, len(h)])) - log_q
+        else:
+            ids, backoff, gain = h, np.zeros(0), np.zeros(0)
+        known, place = np.unique(w, return_inverse=True)
+        codes = np.searchsorted(ids, h) * len(known) + place
+        for k, m, blob in zip(*[rows.column(x).to_pylist() for x in ("kind", "n", "blob")]):
+            if k != 8:
+                continue
+            qh, qw, at = _unpack(blob, m, 3)
+            x = np.zeros(m)
+            old = qh < rare
+            x[old] = [histories[k][1] if k in histories else 0.0 for k in qh[old].tolist()]
+            if len(codes):
+                who = np.minimum(np.searchsorted(ids, qh), len(ids) - 1)
+                what = np.minimum(np.searchsorted(known, qw), len(known) - 1)
+                same = ids[who] == qh
+                x[same] = backoff[who[same]]
+                code = who * len(known) + what
+                spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = same & (known[what] == qw) & (codes[spot] == code)
+                x[hit] = gain[spot[hit]]
+            parts.append((at, np.zeros(m), np.zeros(m), x))
+        at, *sums = (np.concatenate(c) for c in zip(*parts))
+        at, place = np.unique(at, return_inverse=True)
+        sums = [np.bincount(place, x, len(at)) for x in sums]
+        own = rows.filter(pa.compute.equal(rows.column("kind"), 9)).select(names[4:])
+        more = [pa.array(at), *[pa.nulls(len(at), own.schema.field(i).type) for i in (1, 2, 3)], pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.concat_tables([own, pa.Table.from_arrays(more, names[4:])])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(local, schema)
+    words = spark.read.parquet(f"{model.folder}/order=1").where(F.col("c") < max(1, math.ceil(HOT_SHARE * n)))
+    rows = rows.unionByName(_unigram_blobs(words, buckets), allowMissingColumns=True).unionByName(model.bigrams, allowMissingColumns=True)
+    parts = rows.groupBy("bucket").applyInArrow(score_bucket, schema.removeprefix(f"{_PACKED}, "))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return parts.groupBy("row").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )

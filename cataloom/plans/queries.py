@@ -438,8 +438,12 @@ def name_groups(spark, d):
 @query()
 def resolved_offers(spark, d):
     products = fixtures.product(spark, d)
-    catalog = products.where("id % 4 = 0").select("id", "name", F.concat(F.lit("https://shop.test/p/"), F.col("id").cast("string")).alias("url"))
-    offers = products.where("id % 4 <> 1").select(F.lit(1).alias("shop_id"), F.concat(F.lit("https://shop.test/p/"), F.col("id").cast("string")).alias("url"), F.concat_ws(" ", "name", F.lit("(128GB) Black")).alias("name"), F.col("lowest_price").alias("price"))
+    url = lambda host: F.concat(F.lit(f"https://{host}/p/"), F.col("id").cast("string"))
+    catalog = products.select("id", "name", url("shop.test").alias("url"))
+    # all products are offered: a quarter under the catalog's URL, a quarter each under equal, similar and unlike names
+    kind = F.pmod("id", F.lit(4))
+    name = F.when(kind == 3, F.reverse("name")).when(kind == 2, F.concat_ws(" ", "name", F.lit("bundle"))).otherwise(F.concat_ws(" ", "name", F.lit("(128GB) Black")))
+    offers = products.select(F.lit(1).alias("shop_id"), F.when(kind == 0, url("shop.test")).otherwise(url("other.test")).alias("url"), name.alias("name"), F.col("lowest_price").alias("price"))
     return resolve.resolve(catalog, offers)
 
 

@@ -424,6 +424,19 @@ def lsh_candidates(spark, d):
     return a.join(b, ["band", "slice"]).where("key < other").select("key", "other").distinct()
 
 
+@query()
+def minhash_signature_full(spark, d):
+    """minhash_signature with all hashes, which SQL is too slow for."""
+    return resolve.signatures(fixtures.product(spark, d))
+
+
+@query()
+def lsh_candidates_full(spark, d):
+    """lsh_candidates with all hashes and bands."""
+    sigs = resolve.signatures(fixtures.product(spark, d))
+    return resolve.candidates(sigs, sigs).where("key < other")
+
+
 @query()
 def near_dup_best(spark, d):
     sigs = resolve.signatures(fixtures.product(spark, d))

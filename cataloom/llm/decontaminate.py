@@ -2,7 +2,7 @@
 
 An item that occurs in a text with at most k edits holds one of its k + 1 pieces unchanged. Pieces of all items are
 found in one pass of an Aho-Corasick automaton, and the neighbourhood of each hit is searched for the whole item with
-Myers' bit-parallel distance, so every occurrence within the budget is found and nothing else is reported.
+Myers' bit-parallel distance, so every occurrence within the budget is found and nothing else is reported. Short items are found unchanged, where no letter or digit goes on at either end.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ class EditBudget:
 
     error_rate: float = 0.08
     piece_chars: int = 11
-    #: Shorter items say too little to accuse a document; they are not searched.
+    #: Shorter items may have no edits and are found as whole words only.
     min_chars: int = 24
     #: Items are sent to the executors in blocks of at most so many code points, one pass over the documents for each.
     block_chars: int = 4_000_000
 
     def edits(self, length: int) -> int:
-        return max(0, min(int(length * self.error_rate), length // self.piece_chars - 1))
+        return 0 if length < self.min_chars else max(0, min(int(length * self.error_rate), length // self.piece_chars - 1))
 
 
 def normalised(text: str | None) -> str:
@@ -70,10 +70,17 @@ def myers_search(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word of text goes on over start or end."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class ItemMatcher:
     """The automaton of a block of items [(item_id, normalised text)]."""
 
     def __init__(self, items: list[tuple[object, str]], budget: EditBudget):
+        self.min_chars = budget.min_chars
         self.items = [(item, text, budget.edits(len(text))) for item, text in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k) in enumerate(self.items):
@@ -93,6 +100,11 @@ class ItemMatcher:
                 starts.setdefault(i, set()).add(end + 1 - offset)
         for i, found in starts.items():
             item, pattern, k = self.items[i]
+            if len(pattern) < self.min_chars:
+                ends = [s + len(pattern) for s in found if _stands_alone(text, s, s + len(pattern))]
+                if ends:
+                    yield item, 0, min(ends), k
+                continue
             best = None
             reach = -1
             spans: list[list[int]] = []
@@ -119,7 +131,7 @@ def blocks(items: DataFrame, budget: EditBudget, id_col: str, text_col: str) ->
     size = 0
     for row in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         text = normalised(row.t)
-        if len(text) < budget.min_chars:
+        if not text:
             continue
         if block and size + len(text) > budget.block_chars:
             yield block
@@ -134,8 +146,8 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: EditBudget = EditBud
     """(doc_id, item_id, distance, end, budget): one row for each document row and item that it holds within budget.
 
     distance is the least number of edits between the normalised item and a part of the normalised text, end where that
-    part ends. Clean documents have no row. Null and empty texts hold nothing; null, empty and too short items are not
-    searched. Repeated document rows repeat their rows. Empty tables give no rows. Items in any number are searched, block
+    part ends. Clean documents have no row. Null and empty texts hold nothing; null and empty items are not
+    searched, short ones without edits. Repeated document rows repeat their rows. Empty tables give no rows. Items in any number are searched, block
     after block; what is broadcast is bounded by block_chars.
     """
     spark = docs.sparkSession

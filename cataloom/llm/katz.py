@@ -91,6 +91,7 @@ class _Keys(dict):
 
     def __init__(self, known):
         super().__init__(known)
+        self.known = known
         self.full = len(known) + _FLUSH
 
     def __missing__(self, word: bytes) -> int:
@@ -176,6 +177,11 @@ def _counts_of(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
     return np.where(k[at] == keys, c[at], 0)
 
 
+def _full_counts(w: np.ndarray, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of second words: those of broadcast words are not moved, 0 stands for them."""
+    return np.where(w < _COLD, counts[np.where(w < _COLD, w, 0)], c)
+
+
 def _merged(h: np.ndarray, w: np.ndarray, *columns: np.ndarray):
     """Each (h, w) once, sorted, and where it starts among the sorted columns."""
     order = np.lexsort((w, h))
@@ -276,7 +282,7 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     table, rows = _backoff(counts, class_p, rare)
     spark.createDataFrame(rows).write.parquet(f"{folder}/order=classes")
     names = classes + sorted(hot.keys() - set(classes))
-    model = Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot, names, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), None, {}, {}, {})
+    model = Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot, names, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), None, {}, {}, {})
     _bigrams(texts, counted.where(F.col("c") < max(1, share(HOT_SHARE))), model)
     return model
 
@@ -284,8 +290,9 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
     """Count the word bigrams into the table order=2 and set what is bounded of them.
 
-    Tasks combine equal pairs first. Pairs whose second word is rare meet that word's count in its bucket, then all pairs
-    of a bucket are summed. Class histories, split over buckets, are summed from one row of each bucket.
+    Tasks combine equal pairs first, but those whose second word is rare: few are equal, and they meet
+    that word's count in its bucket. Then all pairs of a bucket are summed. Class histories, split over buckets, are summed
+    from one row of each bucket.
     """
     spark = texts.sparkSession
     n, rare, buckets, d = model.tokens, len(model.classes), model.buckets, model.discounts
@@ -295,19 +302,27 @@ def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
 
     def pairs(cold: bool):
         def deal(batches):
-            keys, counts, _ = sent.value
-            keys = _Keys(keys)
+            keys = _Keys(sent.value[0])
             line: list[int] = []
 
             def out():
                 a = np.array(line, np.int64)
-                ids, at = np.unique(a, return_inverse=True)
-                both = (at[:-1] * len(ids) + at[1:])[(a[1:] != _BEGIN) & ((a[1:] >= _COLD) == cold)]
-                both, c = np.unique(both, return_counts=True)
-                h, w = ids[both // len(ids)], ids[both % len(ids)]
+                here = np.flatnonzero((a[1:] != _BEGIN) & ((a[1:] >= _COLD) == cold))
+                h, w = a[here], a[here + 1]
+                if cold:  # few are equal: they are summed where they meet
+                    c = np.ones(len(h), np.int64)
+                else:  # w is small: rare histories get numbers behind the others
+                    old, at = np.unique(h[h >= _COLD], return_inverse=True)
+                    size = len(keys.known) + 1
+                    place = h + 1
+                    place[h >= _COLD] = size + at
+                    both, c = np.unique(place * size + w, return_counts=True)
+                    place, w = both // size, both % size
+                    h = place - 1
+                    h[place >= size] = old[place[place >= size] - size]
                 if cold:
                     return _batch(_dealt(1, _mixed(w) % np.uint64(buckets), h, w, c))
-                return _batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, counts[w]))
+                return _batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, np.zeros(len(w), np.int64)))
 
             for batch in batches:
                 for text in batch.column(0).to_pylist():
@@ -333,7 +348,8 @@ def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
         bucket = rows.column("bucket")[0].as_py()
         h, w, start, (c, wc) = _merged(*_of_kind(rows, 2, 4))
         c, wc = np.add.reduceat(c, start), wc[start]
-        log_q = _log_q(h, w, wc, sent.value[2], rare, d, n, keep, rare_p)
+        _, counts, table = sent.value
+        log_q = _log_q(h, w, _full_counts(w, wc, counts), table, rare, d, n, keep, rare_p)
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         sums = [np.add.reduceat(x.astype(np.float64), first) for x in (c, 10**log_q, *[c == r for r in range(1, K + 2)])]
         many = c >= hot_pair
@@ -473,6 +489,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def score_bucket(rows: pa.Table) -> pa.Table:
         histories = sent.value[6]
         table = sent.value[3]
+        split_backoff = np.array([histories[k][1] if k in histories else 0.0 for k in range(-1, rare)])
         w, at7 = _of_kind(rows, 7, 2)
         c = _counts_of(w, _of_kind(rows, 0, 2))
         inside = np.where(c > 0, np.log10(np.maximum(_factors(d, c), 1e-300) / max(n, 1) * keep), unseen) - math.log10(rare_p)
@@ -481,7 +498,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         if len(h):
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             kept = _factors(d2, c)
-            log_q = _log_q(h, w, wc, table, rare, d, n, keep, rare_p)
+            log_q = _log_q(h, w, _full_counts(w, wc, sent.value[1]), table, rare, d, n, keep, rare_p)
             total = np.add.reduceat(c, first)
             factor, backoff = _weights(total, np.add.reduceat(kept, first), np.add.reduceat(10**log_q, first))
             factor -= np.log10(total)
@@ -500,7 +517,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             qh, qw, at = _unpack(blob, m, 3)
             x = np.zeros(m)
             old = qh < rare
-            x[old] = [histories[k][1] if k in histories else 0.0 for k in qh[old].tolist()]
+            x[old] = split_backoff[qh[old] + 1]
             if len(codes):
                 who = np.minimum(np.searchsorted(ids, qh), len(ids) - 1)
                 what = np.minimum(np.searchsorted(known, qw), len(known) - 1)

@@ -1,41 +1,39 @@
 """Katz backoff with Good-Turing discounts and exactly normalised backoff weights.
 
-Bigrams and unigrams are all those of the training texts, each with its count; unseen words share what discounting frees.
-A bigram that was not seen backs off to Q(w | h) = P(class(w) | class(h)) P(w | class(w)), where a word whose relative
-frequency is at least CLASS_SHARE is a class of its own and all others are one: a lower order with a proven bound at any
-corpus size. Its first part backs off from class bigrams to unigrams, its second is one for frequent words and the word's
-discounted share of the rare class for others.
+All word bigrams and unigrams of the training texts are counted. A bigram that was seen keeps its discounted share of its
+history; one that was not backs off, by its history's weight, to the unigram; a word that was never seen gets an even part
+of what the unigrams' discounts free, shared among as many unseen words as there seem to be (Chao's estimate from the
+words found once and twice). So the probabilities of a history's words, the unseen ones included, sum to one.
 
 Unigrams and bigrams grow with the corpus. They are dealt into buckets, as packed columns: a bigram by its history, or by
-both words where the history is a class, as such a history may be hot. Words go by keys: a small number for those of
-HOT_SHARE or more, else 62 bits of a hash.
+both words where the history is frequent and so may be hot. Words go by keys: a small number for those of HOT_SHARE or
+more, else 62 bits of a hash.
 """
 
 from __future__ import annotations
 
-import hashlib
+import io
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of, materialize
+from cataloom.llm.common import batches_of, larger, split_words
 
-#: Least relative frequency of a word that is a class of its own; of a word whose count is broadcast; of a bigram that is broadcast.
-CLASS_SHARE, HOT_SHARE, HOT_PAIR = 1 / 2048, 2e-6, 1e-5
+#: Least relative frequency of a history that is split over buckets; of a word whose count is broadcast; of a bigram that is broadcast.
+SPLIT_SHARE, HOT_SHARE, HOT_PAIR = 1 / 2048, 2e-6, 1e-5
 #: Counts up to this are discounted.
 K = 5
 #: The end of a text, among words: no word is empty.
 END = ""
-_FLUSH = 200_000
-#: Keys of words that are not broadcast start here; the key of a text's start; tokens that are dealt out at a time.
-_COLD, _BEGIN, _CHUNK = 1 << 62, -1, 1_500_000
+#: Keys of words that are not broadcast start here; the key of a text's start; tokens that a bucket may hold.
+_COLD, _BEGIN, _BUCKET_TOKENS = 1 << 62, -1, 2_000_000
 
 
 def good_turing(n_r: dict[int, int]) -> dict[int, float]:
@@ -55,6 +53,11 @@ def good_turing(n_r: dict[int, int]) -> dict[int, float]:
     return {r: 1 - step / r for r in range(1, K + 1)}
 
 
+def unseen_types(once: int, twice: int) -> float:
+    """How many words the texts lack, from the numbers of those found once and twice; one at least."""
+    return 1 + once * max(once - 1, 0) / (2 * (twice + 1))
+
+
 @dataclass
 class Model:
     """A trained model: its folder of tables and what is bounded of it."""
@@ -63,42 +66,47 @@ class Model:
     tokens: int
     types: int
     discounts: dict[int, float]
+    #: The share of all unseen words together, and their estimated number.
     unseen: float
+    unseen_words: float
     #: What counts keep where nothing was discounted, else 1.
     keep: float
-    #: Frequent words in class order; the class after the last is that of rare words, the one after that the start of a text.
-    classes: list[str]
-    class_p: np.ndarray
-    #: log10 P(class | class before), by history.
-    table: np.ndarray
-    hot: dict[str, int]
-    #: Frequent words in key order, classes first; the number of buckets; the table order=2 as packed columns.
+    #: Frequent words, most frequent first, and their counts; histories that are split, which come first; the number of buckets.
     names: list[str]
+    counts: np.ndarray
+    split: int
     buckets: int
-    bigrams: DataFrame
-    #: Discounts of bigrams; (log10 of their factor, log10 backoff) of class histories; log10 P - log10 Q of hot bigrams.
+    #: The table order=2 as packed columns; discounts of bigrams.
+    bigrams: DataFrame | None
     discounts2: dict[int, float]
+    #: (log10 of the factor of what was seen, log10 backoff) of split histories; log10 P(w | h) - log10 P(w) of hot bigrams.
     histories: dict[int, tuple[float, float]]
     gains: dict[tuple[int, int], float]
 
-
-def _hashed(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest()) >> 2 | _COLD
+    def log_unseen(self) -> float:
+        return math.log10(self.unseen / self.unseen_words)
 
 
-class _Keys(dict):
-    """Keys by word; those of rare words are hashed when met."""
+def _hashed(words: pa.Array) -> np.ndarray:
+    found = words.cast(pa.binary()).to_pylist()
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) >> np.uint64(2)).astype(np.int64) | _COLD
 
-    def __init__(self, known):
-        super().__init__(known)
-        self.known = known
-        self.full = len(known) + _FLUSH
 
-    def __missing__(self, word: bytes) -> int:
-        key = _hashed(word)
-        if len(self) < self.full:
-            self[word] = key
-        return key
+def _coded(texts: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, line, sizes): all texts as places in keys, each between the places of _BEGIN, the last, and END, the one before it; sizes are those of the texts with both."""
+    words, at, sizes = split_words(pc.ascii_lower(texts))
+    words = pa.concat_arrays([words, pa.array([END], words.type)])
+    keys = pc.index_in(words, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+    cold = keys < 0
+    keys[cold] = _hashed(words.filter(pa.array(cold)))
+    m = len(keys)
+    sizes = sizes + 2
+    ends = np.cumsum(sizes)
+    line = np.empty(ends[-1] if len(ends) else 0, np.int64)
+    inner = np.ones(len(line), bool)
+    inner[ends - 1] = inner[ends - sizes] = False
+    line[inner], line[ends - 1], line[ends - sizes] = at, m - 1, m
+    return np.r_[keys, _BEGIN], line, sizes
 
 
 _PACKED = "bucket int, kind int, n long, blob binary"
@@ -119,18 +127,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
-def _bucket(h: np.ndarray, w: np.ndarray, rare: int, n: int) -> np.ndarray:
-    """The bucket of bigrams: a history's, and for class histories the pair's."""
+def _bucket(h: np.ndarray, w: np.ndarray, split: int, n: int) -> np.ndarray:
+    """The bucket of bigrams: a history's, and for split histories the pair's."""
     x = _mixed(h)
-    return np.where(h < rare, _mixed(x + _mixed(w)), x) % np.uint64(n)
+    return np.where(h < split, _mixed(x + _mixed(w)), x) % np.uint64(n)
 
 
 def _dealt(kind: int, bucket: np.ndarray, *columns: np.ndarray):
     """(bucket, kind, n, blob) of each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    for b, at in zip(found, np.split(order, first[1:]) if len(found) else []):
-        yield int(b), kind, len(at), _pack(*[c[at] for c in columns])
+    order = np.argsort(bucket.astype(np.uint16), kind="stable") if not len(bucket) or int(bucket.max()) < 1 << 16 else np.argsort(bucket, kind="stable")  # 16 bits sort by radix
+    bucket = bucket[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    columns = [c[order] for c in columns]
+    for x, y in zip(first, [*first[1:], len(bucket)]):
+        yield int(bucket[x]), kind, int(y - x), _pack(*[c[x:y] for c in columns])
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -148,22 +158,16 @@ def _unigram_blobs(rare_words: DataFrame, buckets: int) -> DataFrame:
     """(key, count) of the words that are not broadcast, by key."""
 
     def deal(batches):
-        key: list[int] = []
-        c: list[int] = []
+        for batch in larger(batches):
+            keys = _hashed(batch.column(0))
+            yield _batch(_dealt(0, _mixed(keys) % np.uint64(buckets), keys, batch.column(1).to_numpy()))
 
-        def out():
-            k = np.array(key, np.int64)
-            return _batch(_dealt(0, _mixed(k) % np.uint64(buckets), k, np.array(c, np.int64)))
+    return rare_words.select("word", "c").mapInArrow(deal, _PACKED)
 
-        for batch in batches:
-            key += [_hashed(w.encode()) for w in batch.column(0).to_pylist()]
-            c += batch.column(1).to_pylist()
-            if len(key) > _FLUSH:
-                yield out()
-                key.clear(), c.clear()
-        yield out()
 
-    return rare_words.select("word", "c").mapInArrow(deal, _PACKED)
+def _place(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each key is among sorted_keys (not empty), or any place if it is not there."""
+    return np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
 
 
 def _counts_of(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
@@ -173,7 +177,7 @@ def _counts_of(keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
         return np.zeros(len(keys), np.int64)
     order = np.argsort(k)
     k, c = k[order], c[order]
-    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    at = _place(keys, k)
     return np.where(k[at] == keys, c[at], 0)
 
 
@@ -195,14 +199,8 @@ def _factors(d: dict[int, float], c: np.ndarray) -> np.ndarray:
     return np.array([d.get(r, 1.0) for r in range(K + 2)])[np.minimum(c, K + 1)] * c
 
 
-def _log_q(h, w, c, table, rare, d, total, keep, rare_p):
-    """log10 Q(w | h) of words with their counts c."""
-    inside = np.log10(np.maximum(_factors(d, c), 1e-300) / max(total, 1) * keep) - math.log10(rare_p)
-    return table[np.where(h < 0, rare + 1, np.minimum(h, rare)), np.minimum(w, rare)] + np.where(w < rare, 0.0, inside)
-
-
 def _weights(total, kept, lower):
-    """(log10 of the factor of seen bigrams, log10 backoff) of histories, from counts, discounted counts and Q of what was seen."""
+    """(log10 of the factor of seen bigrams, log10 backoff) of histories, from counts, discounted counts and the unigram share of what was seen."""
     left, over = 1 - kept / total, 1 - lower
     none = over <= 1e-12  # every word was seen: nothing to back off to
     factor = np.where(none, total / kept, np.where(left <= 1e-12, total / (total + 0.5), 1.0))  # nothing was freed: half a count is
@@ -211,19 +209,11 @@ def _weights(total, kept, lower):
 
 
 def _count_words(batches):
-    found: Counter = Counter()
-
-    def out():
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(text.encode().lower().split() if text else ())
-            found[b""] += 1
-        if len(found) > _FLUSH:
-            yield from out()
-            found.clear()
-    yield from out()
+    for batch in larger(batches, 32 << 20):
+        words, at, _ = split_words(pc.ascii_lower(batch.column(0)))
+        counts = np.bincount(at, minlength=len(words))
+        words = words.filter(pa.array(counts > 0))  # white space at an end leaves an empty word
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], words.type)]), pa.array(np.r_[counts[counts > 0], batch.num_rows])], ["word", "c"])
 
 
 def is_held_out(id_col: str):
@@ -232,15 +222,16 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count all texts that are not held out and write the tables order=1 (word, c, log10_p), order=classes (history, word, c, log10_p, log10_backoff), bigrams of classes, and order=2, packed bigrams of words by bucket.
+    """Count all texts that are not held out and write the tables order=1 (word, c) and order=2, packed bigrams of words by bucket.
 
     Null and empty texts are an end alone. Without training texts every word is unseen. Words are counted in each task and
-    then by key; no key is hot, as a task sends a word once.
+    then by key; no key is hot, as a task sends a word once for each 32 MB.
     """
     spark = docs.sparkSession
     batches_of(spark)
     texts = docs.where(~is_held_out(id_col)).select(F.col(text_col).alias("text"))
-    counted = materialize(texts.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "unigrams")
+    texts.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).write.parquet(f"{folder}/order=1")
+    counted = spark.read.schema("word string, c long").parquet(f"{folder}/order=1")
     sums = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2)]).first()
     n, v = sums["n"] or 0, sums["v"]
     d = good_turing({r: sums[f"n{r}"] for r in range(1, K + 2)})
@@ -249,113 +240,58 @@ def train(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     if n and not unseen:
         unseen = 1 / (n + 1)  # no word is rare enough to be discounted; all give a little
     keep = 1.0 if freed else 1 - unseen
-    p1 = F.when(F.col("c") <= K, F.get(F.array(*[F.lit(d.get(r, 1.0)) for r in range(K + 1)]), F.least(F.col("c"), F.lit(K)).cast("int"))).otherwise(1.0) * F.col("c") / float(max(n, 1)) * keep
-    counted.select("word", "c", F.log10(p1).alias("log10_p")).write.parquet(f"{folder}/order=1")
-    share = lambda x: math.ceil(x * n)
-    frequent = counted.where(F.col("c") >= max(1, share(HOT_SHARE))).toArrow()  # 1 / HOT_SHARE rows at most
-    hot = dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist()))
-    classes = sorted(w for w, c in hot.items() if c >= share(CLASS_SHARE))
-    rare, begin = len(classes), len(classes) + 1
-    prob = lambda c: (d.get(c, 1.0)) * c / n * keep
-    class_p = np.array([prob(hot[w]) for w in classes] + [0.0])
-    class_p[rare] = max(1 - class_p.sum(), 1e-300)
-    index = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(classes)})
-
-    def pairs(batches):
-        ids, size = index.value, rare + 2
-        end = ids.get(b"", rare)
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            line: list[int] = []
-            for text in batch.column(0).to_pylist():
-                line.append(begin)
-                if text:
-                    line += [ids.get(w, rare) for w in text.encode().lower().split()]
-                line.append(end)
-            at = np.array(line, np.int64)
-            both = at[:-1] * size + at[1:]
-            total += np.bincount(both[at[1:] != begin], minlength=size * size)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((k // size).astype(np.int32)), pa.array((k % size).astype(np.int32)), pa.array(total[k])], ["history", "word", "c"])
-
-    counts = texts.mapInArrow(pairs, "history int, word int, c long").groupBy("history", "word").agg(F.sum("c").alias("c")).toArrow()  # (1 / CLASS_SHARE + 2) squared rows at most
-    table, rows = _backoff(counts, class_p, rare)
-    spark.createDataFrame(rows).write.parquet(f"{folder}/order=classes")
-    names = classes + sorted(hot.keys() - set(classes))
-    model = Model(folder, n, v, d, unseen, keep, classes, class_p, table, hot, names, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), None, {}, {}, {})
-    _bigrams(texts, counted.where(F.col("c") < max(1, share(HOT_SHARE))), model)
+    share = lambda x: max(1, math.ceil(x * n))
+    frequent = counted.where(F.col("c") >= share(HOT_SHARE)).toArrow()  # 1 / HOT_SHARE rows at most
+    hot = sorted(zip(frequent.column("c").to_pylist(), frequent.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    counts = np.array([c for c, _ in hot] + [0], np.int64)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // _BUCKET_TOKENS))
+    model = Model(folder, n, v, d, unseen, unseen_types(sums["n1"], sums["n2"]), keep, [w for _, w in hot], counts, int((counts >= share(SPLIT_SHARE)).sum()), buckets, None, {}, {}, {})
+    _bigrams(texts, counted.where(F.col("c") < share(HOT_SHARE)), model)
     return model
 
 
 def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
     """Count the word bigrams into the table order=2 and set what is bounded of them.
 
-    Tasks combine equal pairs first, but those whose second word is rare: few are equal, and they meet
-    that word's count in its bucket. Then all pairs of a bucket are summed. Class histories, split over buckets, are summed
-    from one row of each bucket.
+    Tasks combine equal pairs first. Those whose second word is not broadcast meet that word's count in its bucket. Then
+    all pairs of a bucket are summed. Split histories are summed from one row of each bucket.
     """
     spark = texts.sparkSession
-    n, rare, buckets, d = model.tokens, len(model.classes), model.buckets, model.discounts
+    n, split, buckets, d, keep = model.tokens, model.split, model.buckets, model.discounts, model.keep
     hot_pair = max(1, math.ceil(HOT_PAIR * n))
-    sent = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(model.names)}, np.array([model.hot[w] for w in model.names] + [0], np.int64), model.table))
-    keep, rare_p = model.keep, float(model.class_p[rare])
+    sent = spark.sparkContext.broadcast((pa.array(model.names, pa.string()), model.counts))
 
     def pairs(cold: bool):
         def deal(batches):
-            keys = _Keys(sent.value[0])
-            line: list[int] = []
-
-            def out():
-                a = np.array(line, np.int64)
-                here = np.flatnonzero((a[1:] != _BEGIN) & ((a[1:] >= _COLD) == cold))
-                h, w = a[here], a[here + 1]
-                if cold:  # few are equal: they are summed where they meet
-                    c = np.ones(len(h), np.int64)
-                else:  # w is small: rare histories get numbers behind the others
-                    old, at = np.unique(h[h >= _COLD], return_inverse=True)
-                    size = len(keys.known) + 1
-                    place = h + 1
-                    place[h >= _COLD] = size + at
-                    both, c = np.unique(place * size + w, return_counts=True)
-                    place, w = both // size, both % size
-                    h = place - 1
-                    h[place >= size] = old[place[place >= size] - size]
+            for batch in larger(batches, 16 << 20):
+                keys, line, _ = _coded(batch.column(0), sent.value[0])
+                m, old = len(keys), keys >= _COLD
+                here = np.flatnonzero((line[1:] != m - 1) & (old[line[1:]] == cold))
+                both, c = np.unique(line[here] * m + line[here + 1], return_counts=True)
+                h, w = keys[both // m], keys[both % m]
                 if cold:
-                    return _batch(_dealt(1, _mixed(w) % np.uint64(buckets), h, w, c))
-                return _batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, np.zeros(len(w), np.int64)))
-
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    line.append(_BEGIN)
-                    if text:
-                        line += [keys[w] for w in text.encode().lower().split()]
-                    line.append(keys[b""])
-                    if len(line) > _CHUNK:
-                        yield out()
-                        line.clear()
-            if line:
-                yield out()
+                    yield _batch(_dealt(1, _mixed(w) % np.uint64(buckets), h, w, c))
+                else:
+                    yield _batch(_dealt(2, _bucket(h, w, split, buckets), h, w, c, np.zeros(len(w), np.int64)))
 
         return texts.mapInArrow(deal, _PACKED)
 
     def meet(rows: pa.Table) -> pa.Table:
-        h, w, c = _of_kind(rows, 1, 3)
-        h, w, start, (c,) = _merged(h, w, c)
+        h, w, start, (c,) = _merged(*_of_kind(rows, 1, 3))
         c = np.add.reduceat(c, start) if len(start) else c
-        return pa.Table.from_batches([_batch(_dealt(2, _bucket(h, w, rare, buckets), h, w, c, _counts_of(w, _of_kind(rows, 0, 2))))])
+        return pa.Table.from_batches([_batch(_dealt(2, _bucket(h, w, split, buckets), h, w, c, _counts_of(w, _of_kind(rows, 0, 2))))])
 
     def total(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         h, w, start, (c, wc) = _merged(*_of_kind(rows, 2, 4))
         c, wc = np.add.reduceat(c, start), wc[start]
-        _, counts, table = sent.value
-        log_q = _log_q(h, w, _full_counts(w, wc, counts), table, rare, d, n, keep, rare_p)
+        lower = _factors(d, _full_counts(w, wc, sent.value[1])) / n * keep
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sums = [np.add.reduceat(x.astype(np.float64), first) for x in (c, 10**log_q, *[c == r for r in range(1, K + 2)])]
+        sums = [np.add.reduceat(x.astype(np.float64), first) for x in (c, lower, *[c == r for r in range(1, K + 2)])]
         many = c >= hot_pair
-        told = (h[first] < rare) | np.isin(h[first], h[many])
+        told = (h[first] < split) | np.isin(h[first], h[many])
         out = [(bucket, 3, int(h[first][i]), None, [float(x[i]) for x in sums], None) for i in np.flatnonzero(told)]
-        out += [(bucket, 4, int(h[i]), int(w[i]), [float(c[i]), float(log_q[i])], None) for i in np.flatnonzero(many)]
+        out += [(bucket, 4, int(h[i]), int(w[i]), [float(c[i]), float(lower[i])], None) for i in np.flatnonzero(many)]
         out += [(bucket, 5, None, None, [float(x.sum()) for x in sums], None), (bucket, 6, len(h), None, None, _pack(h, w, c, wc))]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["bucket", "kind", "h", "w", "sums", "blob"])
@@ -368,44 +304,16 @@ def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
     at = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(K + 3)]
     rest = found.where("kind = 5").agg(*at).first()
     model.discounts2 = d2 = good_turing({r: int(rest[r + 1] or 0) for r in range(1, K + 2)})
-    sums = found.where("kind = 3").groupBy("h").agg(*at).toArrow()  # the classes, and those of hot bigrams: 1 / HOT_PAIR rows at most
+    sums = found.where("kind = 3").groupBy("h").agg(*at).toArrow()  # the split ones, and those of hot bigrams: 1 / HOT_PAIR rows at most
     h = sums.column("h").to_pylist()
     c, lower, *of = (sums.column(f"s{i}").to_numpy() for i in range(K + 3))
     factor, backoff = _weights(c, c - sum((1 - d2[r]) * r * of[r - 1] for r in range(1, K + 1)), lower)
     count = dict(zip(h, c))
     factors = dict(zip(h, factor))
-    model.histories = {k: (f - math.log10(x), b) for k, f, b, x in zip(h, factor, backoff, c) if k < rare}
+    model.histories = {k: (f - math.log10(x), b) for k, f, b, x in zip(h, factor, backoff, c) if k < split}
     for r in found.where("kind = 4").select("h", "w", "sums").toArrow().to_pylist():  # 1 / HOT_PAIR rows at most
-        x, log_q = r["sums"]
-        model.gains[r["h"], r["w"]] = math.log10(d2.get(int(x), 1.0) * x / count[r["h"]]) + factors[r["h"]] - log_q
-
-
-def _backoff(counts: pa.Table, class_p: np.ndarray, rare: int) -> tuple[np.ndarray, pa.Table]:
-    """The table of log10 P(class | history), each row of which sums to one, and the stored rows of what was seen."""
-    size = rare + 2
-    c = np.zeros((size, size - 1))
-    c[counts.column("history").to_numpy(), counts.column("word").to_numpy()] = counts.column("c").to_numpy()
-    seen = c > 0
-    d = good_turing(Counter(c[seen & (c <= K + 1)].astype(int).tolist()))
-    factor = np.ones_like(c)
-    for r, x in d.items():
-        factor[c == r] = x
-    total = np.maximum(c.sum(1, keepdims=True), 1)
-    p = factor * c / total
-    left = 1 - p.sum(1)
-    lower = np.where(seen, 0.0, class_p).sum(1)
-    for h in range(size):
-        if lower[h] <= 1e-15:  # every class was seen: nothing to back off to
-            p[h] /= p[h].sum()
-        elif left[h] <= 1e-15:  # nothing was freed: half a count is
-            p[h] *= total[h] / (total[h] + 0.5)
-    left = np.maximum(1 - p.sum(1), 0)
-    weight = np.divide(left, lower, out=np.ones(size), where=lower > 1e-15)
-    full = np.where(seen, p, weight[:, None] * class_p)
-    log = np.log10(np.maximum(full, 1e-300))
-    backoff = np.log10(np.maximum(weight, 1e-300))
-    h, w = np.nonzero(seen)
-    return log, pa.table({"history": h.astype(np.int32), "word": w.astype(np.int32), "c": c[h, w].astype(np.int64), "log10_p": log[h, w], "log10_backoff": backoff[h]})
+        x, low = r["sums"]
+        model.gains[r["h"], r["w"]] = math.log10(d2.get(int(x), 1.0) * x / count[r["h"]] / low) + factors[r["h"]]
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,132 +322,121 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens, score the model's log10 probability of the text, end
     included. Null and empty texts are an end alone. Repeated rows stay, null ids are allowed, empty tables give no rows.
     Frequent words and hot bigrams are scored in place; the others, none of which can be hot, go to the buckets of the
-    unigrams and bigrams, each as its key and its row. All sums of a row are then added.
+    unigrams and bigrams, each as its key and its row. A bucket's sums go back to the chunk of rows that asked.
     """
     spark = docs.sparkSession
     batches_of(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    n, v, rare, buckets, d, d2, keep = model.tokens, model.types, len(model.classes), model.buckets, model.discounts, model.discounts2, model.keep
-    rare_p, unseen = float(model.class_p[rare]), math.log10(model.unseen)
+    n, v, split, buckets, d, d2, keep = model.tokens, model.types, model.split, model.buckets, model.discounts, model.discounts2, model.keep
+    unseen = model.log_unseen()
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    counts = np.array([model.hot[w] for w in model.names] + [0], np.int64)
-    hot = sorted(((h + 1) * len(counts) + w, x) for (h, w), x in model.gains.items())
+    log_of = lambda c: np.where(c > 0, np.log10(np.maximum(_factors(d, c), 1e-300) / max(n, 1) * keep), unseen)
+    m = len(model.counts)
+    hot = sorted(((h + 1) * m + w, x) for (h, w), x in model.gains.items())
     hot_keys, hot_gains = np.array([k for k, _ in hot] + [1 << 62], np.int64), np.array([x for _, x in hot] + [0.0])
-    sent = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(model.names)}, counts, base_of(counts), model.table, hot_keys, hot_gains, model.histories))
-    names = ["bucket", "kind", "n", "blob", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    schema = f"{_PACKED}, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    sent = spark.sparkContext.broadcast((pa.array(model.names, pa.string()), model.counts, hot_keys, hot_gains, model.histories))
+    names = ["bucket", "kind", "n", "blob", "chunk"]
+    schema = f"{_PACKED}, chunk long"
 
     def local(batches):
-        keys, counts, base, table, hot_keys, hot_gains, _ = sent.value
-        m = len(counts)
-        keys = _Keys(keys)
-        row = TaskContext.get().partitionId() << 33
-        held: list[pa.RecordBatch] = []
-        tokens = 0
-
-        def out():
-            nonlocal row
-            texts = [t for b in held for t in b.column(2).to_pylist()]
-            line: list[int] = []
-            size = []
-            for text in texts:
-                line.append(_BEGIN)
-                if text:
-                    line += [keys[w] for w in text.encode().lower().split()]
-                line.append(keys[b""])
-                size.append(len(line))
-            a = np.array(line, np.int64)
-            at = np.repeat(np.arange(len(texts)), np.diff(size, prepend=0))
+        known, counts, hot_keys, hot_gains, _ = sent.value
+        base, log_p = base_of(counts), log_of(counts)
+        base[-1] = log_p[-1] = 0.0  # words that are not broadcast are added by their buckets
+        chunk = TaskContext.get().partitionId() << 24
+        for batch in larger(batches, 16 << 20):
+            keys, line, sizes = _coded(batch.column(2), known)
+            a, size = keys[line], batch.num_rows
             here = np.flatnonzero(a != _BEGIN)
-            h, w, at = a[here - 1], a[here], at[here]
-            sums = lambda x, i=at: np.bincount(i, x, len(texts))
+            h, w, at = a[here - 1], a[here], np.repeat(np.arange(size), sizes - 1)
             cold = w >= _COLD
             i = np.where(cold, m - 1, w)
-            score = table[np.where(h < 0, rare + 1, np.minimum(h, rare)), np.minimum(w, rare)]
-            inner = ~cold & (w >= rare)
-            score[inner] += np.log10(_factors(d, counts[i[inner]]) / n * keep) - math.log10(rare_p)
-            warm = ~cold & (h < _COLD)
-            k = np.where(warm, (np.where(warm, h, 0) + 1) * m + i, -1)
-            spot = np.searchsorted(hot_keys, k)
-            known = hot_keys[spot] == k
-            score[known] += hot_gains[spot[known]]
-            rows = [*_dealt(7, _mixed(w[cold]) % np.uint64(buckets), w[cold], at[cold] + row)]
-            h, w, far = h[~known], w[~known], at[~known] + row
-            rows += _dealt(8, _bucket(h, w, rare, buckets), h, w, far)
+            score = log_p[i]
+            k = np.where(cold | (h >= _COLD), -1, (h + 1) * m + i)
+            spot = _place(k, hot_keys)
+            done = hot_keys[spot] == k
+            score[done] += hot_gains[spot[done]]
+            sums = lambda x: np.bincount(at, x, size)  # noqa: E731, B023
+            own = [batch.column(0), batch.column(1), pa.array(sizes - 1), pa.array(sums(~cold).astype(np.int64)), pa.array(sums(base[i])), pa.array(sums(score))]
+            out = io.BytesIO()
+            own = pa.RecordBatch.from_arrays(own, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+            with pa.ipc.new_stream(out, own.schema) as stream:
+                stream.write_batch(own)
+            rows = [(chunk % buckets, 9, size, out.getvalue()), *_dealt(7, _mixed(w[cold]) % np.uint64(buckets), w[cold], at[cold])]
+            h, w, at = h[~done], w[~done], at[~done]
+            rows += _dealt(8, _bucket(h, w, split, buckets), h, w, at)
             packed = _batch(rows)
-            size = len(packed)
-            yield pa.RecordBatch.from_arrays([*packed.columns, *[pa.nulls(size, t) for t in (pa.int64(), held[0].column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
-            size = len(texts)
-            own = np.arange(row, row + size)
-            told = [pa.array(own % buckets, pa.int32()), pa.array(np.full(size, 9), pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(own)]
-            told += [pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)]
-            told += [pa.array(sums(np.ones(len(at))).astype(np.int64)), pa.array(sums(~cold).astype(np.int64)), pa.array(sums(np.where(cold, 0.0, base[i]))), pa.array(sums(score))]
-            yield pa.RecordBatch.from_arrays(told, names)
-            row += size
-
-        for batch in batches:
-            held.append(batch)
-            tokens += batch.column(2).nbytes // 6
-            if tokens > _CHUNK:
-                yield from out()
-                held, tokens = [], 0
-        if sum(map(len, held)):
-            yield from out()
+            yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(np.full(len(rows), chunk))], names)
+            chunk += 1
 
     def score_bucket(rows: pa.Table) -> pa.Table:
-        histories = sent.value[6]
-        table = sent.value[3]
-        split_backoff = np.array([histories[k][1] if k in histories else 0.0 for k in range(-1, rare)])
-        w, at7 = _of_kind(rows, 7, 2)
-        c = _counts_of(w, _of_kind(rows, 0, 2))
-        inside = np.where(c > 0, np.log10(np.maximum(_factors(d, c), 1e-300) / max(n, 1) * keep), unseen) - math.log10(rare_p)
-        parts = [(at7, (c > 0).astype(np.float64), base_of(c), inside)]
+        _, counts, _, _, histories = sent.value
+        unigrams = _of_kind(rows, 0, 2)
+        order = np.argsort(unigrams[0])
+        words, word_counts = (x[order] for x in unigrams)
+        split_backoff = np.array([histories[k][1] if k in histories else 0.0 for k in range(-1, split)])
         h, w, c, wc = _of_kind(rows, 6, 4)
         if len(h):
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             kept = _factors(d2, c)
-            log_q = _log_q(h, w, _full_counts(w, wc, sent.value[1]), table, rare, d, n, keep, rare_p)
+            log_p = log_of(_full_counts(w, wc, counts))
             total = np.add.reduceat(c, first)
-            factor, backoff = _weights(total, np.add.reduceat(kept, first), np.add.reduceat(10**log_q, first))
+            factor, backoff = _weights(total, np.add.reduceat(kept, first), np.add.reduceat(10**log_p, first))
             factor -= np.log10(total)
             ids = h[first]
-            split = np.flatnonzero(ids < rare)  # class histories are in many buckets
-            if len(split):
-                factor[split], backoff[split] = np.array([histories[int(x)] for x in ids[split]]).T
-            gain = np.log10(kept) + np.repeat(factor, np.diff(np.r_[first, len(h)])) - log_q
-        else:
-            ids, backoff, gain = h, np.zeros(0), np.zeros(0)
-        known, place = np.unique(w, return_inverse=True)
-        codes = np.searchsorted(ids, h) * len(known) + place
-        for k, m, blob in zip(*[rows.column(x).to_pylist() for x in ("kind", "n", "blob")]):
-            if k != 8:
-                continue
-            qh, qw, at = _unpack(blob, m, 3)
-            x = np.zeros(m)
-            old = qh < rare
-            x[old] = split_backoff[qh[old] + 1]
-            if len(codes):
-                who = np.minimum(np.searchsorted(ids, qh), len(ids) - 1)
-                what = np.minimum(np.searchsorted(known, qw), len(known) - 1)
-                same = ids[who] == qh
-                x[same] = backoff[who[same]]
-                code = who * len(known) + what
-                spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = same & (known[what] == qw) & (codes[spot] == code)
-                x[hit] = gain[spot[hit]]
-            parts.append((at, np.zeros(m), np.zeros(m), x))
-        at, *sums = (np.concatenate(c) for c in zip(*parts))
-        at, place = np.unique(at, return_inverse=True)
-        sums = [np.bincount(place, x, len(at)) for x in sums]
-        own = rows.filter(pa.compute.equal(rows.column("kind"), 9)).select(names[4:])
-        more = [pa.array(at), *[pa.nulls(len(at), own.schema.field(i).type) for i in (1, 2, 3)], pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.concat_tables([own, pa.Table.from_arrays(more, names[4:])])
+            there = np.flatnonzero(ids < split)  # split histories are in many buckets
+            if len(there):
+                factor[there], backoff[there] = np.array([histories[int(x)] for x in ids[there]]).T
+            gain = np.log10(kept) + np.repeat(factor, np.diff(np.r_[first, len(h)])) - log_p
+            second, place = np.unique(w, return_inverse=True)
+            codes = np.repeat(np.arange(len(ids)), np.diff(np.r_[first, len(h)])) * len(second) + place
+        out = []
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for k, size, blob, chunk in zip(*[rows.column(x).to_pylist() for x in ("kind", "n", "blob", "chunk")]):
+            if k == 9:
+                out.append((0, 9, size, blob, chunk))
+            elif k == 7:
+                qw, at = _unpack(blob, size, 2)
+                x = np.zeros(size, np.int64)
+                if len(words):
+                    spot = _place(qw, words)
+                    x = np.where(words[spot] == qw, word_counts[spot], 0)
+                parts.setdefault(chunk, []).append((at, x > 0, base_of(x), log_of(x)))
+            elif k == 8:
+                qh, qw, at = _unpack(blob, size, 3)
+                x = np.zeros(size)
+                x[qh < split] = split_backoff[qh[qh < split] + 1]
+                if len(h):
+                    who, what = _place(qh, ids), _place(qw, second)
+                    same = ids[who] == qh
+                    x[same] = backoff[who[same]]
+                    code = who * len(second) + what
+                    spot = _place(code, codes)
+                    hit = same & (second[what] == qw) & (codes[spot] == code)
+                    x[hit] = gain[spot[hit]]
+                parts.setdefault(chunk, []).append((at, np.zeros(size), np.zeros(size), x))
+        for chunk, found in parts.items():
+            at, *sums = (np.concatenate(c) for c in zip(*found))
+            at, place = np.unique(at, return_inverse=True)
+            known, base, score = (np.bincount(place, x, len(at)) for x in sums)
+            out.append((0, 10, len(at), _pack(at, known.astype(np.int64), base, score), chunk))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names)
+
+    def finish(rows: pa.Table) -> pa.Table:
+        found = dict(zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist()))
+        own = pa.ipc.open_stream(found[9]).read_all()
+        sums = [own.column(x).to_numpy().astype(np.float64) for x in ("n_known", "base", "score")]
+        for k, size, blob in zip(*[rows.column(x).to_pylist() for x in ("kind", "n", "blob")]):
+            if k == 10:
+                at, known, base, score = _unpack(blob, size, 4)
+                for total, x in zip(sums, (known, base.view(np.float64), score.view(np.float64))):
+                    total[at] += x
+        known, base, score = sums
+        told = [own.column("doc_id"), own.column("held_out"), own.column("n_tokens"), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), n)), pa.array(base), pa.array(score)]
+        return pa.Table.from_arrays(told, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(local, schema)
-    words = spark.read.parquet(f"{model.folder}/order=1").where(F.col("c") < max(1, math.ceil(HOT_SHARE * n)))
+    words = spark.read.schema("word string, c long").parquet(f"{model.folder}/order=1").where(F.col("c") < max(1, math.ceil(HOT_SHARE * n)))
     rows = rows.unionByName(_unigram_blobs(words, buckets), allowMissingColumns=True).unionByName(model.bigrams, allowMissingColumns=True)
-    parts = rows.groupBy("bucket").applyInArrow(score_bucket, schema.removeprefix(f"{_PACKED}, "))
-    one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    return parts.groupBy("row").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    parts = rows.groupBy("bucket").applyInArrow(score_bucket, schema)
+    return parts.groupBy("chunk").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

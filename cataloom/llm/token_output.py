@@ -13,61 +13,74 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of, small_side
+from cataloom.llm.common import batches_of, larger, small_side
 
 END_ID = 2
 #: What the ORC writer is told.
 ORC = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Parts of a manifest that are broadcast; more are joined by a shuffle.
 BROADCAST_PARTS = 200_000
-_AFTER_BLACK = re.compile(r"(?<=\S) ")
 
+#: White space of any kind, as a class of RE2 patterns.
+_WHITE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+#: Texts that are not cut: three or more white spaces in a row, or two at the end, may be one piece of the pre-tokenizer.
+_UNCUT = rf"[{_WHITE}]{{3}}|[{_WHITE}]{{2}}\z"
+_PLAIN = rf"\A ?[^{_WHITE}]+\z"
+_ENDS_PLAIN = r"[\p{L}\p{N}]\z"
+_MARKS = ".,;:!?"
 
-#: A word of Latin letters and what may follow it: marks, and one more such word on the next line.
-_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
-_PLAIN = re.compile(rf"({_LATIN})([.,;:!?]*)(?:\n({_LATIN})([.,;:!?]*))?")
-_LONGEST = 64
 
+def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at of a ragged array, one after another, and their sizes."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    where = np.repeat(starts[at] - (ends - n), n)
+    where += np.arange(len(where))
+    return flat[where], n
 
-class _Known:
-    """A bounded map in two halves: when the young half is full it becomes the old one, and what is asked for again stays."""
-
-    MOST = 400_000
 
-    def __init__(self):
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
-    def turn(self) -> None:
-        """Called between batches only: a batch's words must all stay in the young half."""
-        if len(self.young) > self.MOST:
-            self.old, self.young = self.young, {}
 
-    def absent(self, words: set[str]) -> set[str]:
-        """Those that are not known; the others are in the young half afterwards."""
-        young, old = self.young, self.old
-        left = set()
-        for w in words:  # not by set operations with the maps' keys, which walk through the larger side
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    left.add(w)
-        return left
+class _Known:
+    """Ids of words met before, as columns; the words of older batches go when there are too many."""
+
+    MOST = 500_000
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.words = pa.array([], pa.string())
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and their number for each word."""
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        flat, sizes = self.encode(words.filter(pa.array(new)))
+        if len(self.words) + len(sizes) > self.MOST:
+            self.flat, self.sizes = _gather(_starts(self.sizes), self.sizes, self.flat, at[~new])
+            self.words = words.filter(pa.array(~new))
+            at[~new] = np.arange(len(self.words))
+        at[new] = len(self.words) + np.arange(len(sizes))
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(new))])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return _gather(_starts(self.sizes), self.sizes, self.flat, at)
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts, with words remembered.
 
-    A byte-level pre-tokenizer always cuts before a space that follows anything but white space, and what it does after
-    the cut does not depend on what stands before. So words between spaces are encoded apart, by the library, once while
-    they are remembered: a plain word is one piece of the pre-tokenizer, so many new ones are encoded in one call and told
-    apart by the pieces their ids come from. Texts with other white space before a space are cut by a pattern, fewer times.
-    For tokenizers of another kind texts are encoded whole.
+    A byte-level pre-tokenizer gives a line break between two words a piece of its own and a space to the word after it, as
+    long as white space stands in runs of two at most. So texts are cut at line breaks and spaces, and their distinct words
+    are encoded by the library once while they are remembered, many in one call with a line break after each. Marks at
+    a word's end are pieces of their own too. Texts with longer runs or added tokens, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, model: str):
@@ -79,95 +92,89 @@ class Encoder:
         self.library.no_padding()
         added = self.library.get_added_tokens_decoder().values()
         self.cut = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.library.pre_tokenizer.add_prefix_space and self.library.normalizer is None
-        self.cut = self.cut and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content or t.content.isalpha() for t in added)
-        self.spaced, self.bare, self.odd, self.marks = _Known(), _Known(), _Known(), {"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, known: _Known, words: list[str], before: str) -> None:
-        """Encode plain words, each after a space or at the start of a line, in one call."""
-        if not words:
-            return
-        found = self.library.encode("".join(before + w for w in words), add_special_tokens=False)
-        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        step = 1 if before == " " else 2  # a line break is a piece of its own
-        bounds = np.searchsorted(of, np.arange(len(words) + 1) * step)
-        shift = step - 1
-        for k, w in enumerate(words):
-            known.young[w] = ids[bounds[k] + shift : bounds[k + 1]].tobytes()
-
-    def _mark(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks = {"": b""}
-            self.marks[marks] = self._whole(marks)
-        return self.marks[marks]
-
-    def _ids_of(self, words: set[str]) -> dict[str, bytes | None]:
-        """Ids of words that follow a space; None stands for what must not be cut off there.
-
-        Only single words are remembered: with marks and line breaks they are too many, and are put together anew.
-        """
-        for known in (self.spaced, self.bare, self.odd):
-            known.turn()
-        found: dict[str, bytes | None] = {}
-        shapes, odd = [], set()
-        for w in words:
-            if len(w) <= _LONGEST and (m := _PLAIN.fullmatch(w)):
-                shapes.append((w, *m.groups()))
-            elif not w or w[-1].isspace():
-                found[w] = None
-            elif len(w) <= _LONGEST:
-                odd.add(w)
-            else:
-                found[w] = self._whole(" " + w)
-        for w in self.odd.absent(odd):
-            self.odd.young[w] = self._whole(" " + w)
-        self._learn(self.spaced, sorted(self.spaced.absent({x[1] for x in shapes})), " ")
-        self._learn(self.bare, sorted(self.bare.absent({x[3] for x in shapes if x[3]})), "\n")
-        spaced, bare, line = self.spaced.young, self.bare.young, self._mark("\n")
-        for w, a, marks, b, more in shapes:
-            ids = spaced[a] + self._mark(marks) if marks else spaced[a]
-            found[w] = ids + line + bare[b] + self._mark(more) if b else ids
-        for w in odd:
-            found[w] = self.odd.young[w]
-        return found
+        self.cut = self.cut and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"[\s.,;:!?]", t.content) or t.content[-1:].isalnum() for t in added)
+        line = self._whole(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+        self.cut = self.cut and self.line is not None
+        #: Added tokens part a text before all else, so texts that hold one are not cut either.
+        self.uncut = "|".join([_UNCUT, *[re.escape(t.content) for t in added]])
+        self.known = _Known(self._encode_words)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with the space before it if it has one."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        joined = words.filter(pa.array(plain)).to_pylist()
+        if joined:
+            ids = np.array(self._whole(["\n".join(joined) + "\n"])[0], np.uint32)
+            line = ids == self.line
+            sizes[plain] = np.diff(np.flatnonzero(line), prepend=-1) - 1
+            parts.append(ids[~line])
+        odd = self._whole(words.filter(pa.array(~plain)).to_pylist())
+        sizes[~plain] = [len(x) for x in odd]
+        parts.append(np.array([i for x in odd for i in x], np.uint32))
+        order = np.argsort(np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)], kind="stable")
+        moved = np.r_[sizes[plain], sizes[~plain]]
+        return _gather(_starts(moved), moved, np.concatenate(parts), order)
+
+    def _word_ids(self, words: pa.Array, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after a space but those that are bare: those of its stem, then those of its marks."""
+        stems = pc.ascii_rtrim(words, _MARKS)
+        cut = pc.match_substring_regex(stems, _ENDS_PLAIN)
+        stems = pc.if_else(cut, stems, words)
+        marks = pc.if_else(cut, pc.struct_field(pc.extract_regex(words, rf"(?P<m>[{_MARKS}]*)\z"), 0), "")
+        stems = pc.if_else(pa.array(bare), stems, pc.binary_join_element_wise(" ", stems, ""))
+        both = pc.dictionary_encode(pa.concat_arrays([stems, marks]))
+        flat, sizes = self.known.ids(both.dictionary)
+        at = both.indices.to_numpy()
+        at = np.stack([at[: len(words)], at[len(words) :]], 1)
+        flat, _ = _gather(_starts(sizes), sizes, flat, at.ravel())
+        return flat, sizes[at].sum(1)
+
+    def ragged(self, texts: pa.Array, last: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (no nulls), each followed by last, one after another, and their number for each text."""
+        tail = np.array(last, np.uint32)
+        if not self.cut or len(texts) and pc.any(pc.match_substring_regex(texts, self.uncut)).as_py():
+            return self._mixed(texts, tail)
+        lines = pc.split_pattern(texts, "\n")
+        of_text = np.diff(lines.offsets.to_numpy())
+        parts = pc.split_pattern(lines.flatten(), " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        words = pc.dictionary_encode(parts.flatten())
+        at, n_lines = words.indices.to_numpy().astype(np.int64) * 2, len(first) - 1
+        first -= first[0]
+        at[first[:-1]] += 1  # bare: nothing but a line's start before it
+        used = np.flatnonzero(np.bincount(at, minlength=2 * len(words.dictionary)))
+        flat, sizes = self._word_ids(words.dictionary.take(pa.array(used // 2)), used % 2 == 1)
+        place = np.zeros(2 * len(words.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        n = len(used)
+        flat, sizes = np.concatenate([flat, [self.line], tail]).astype(np.uint32), np.r_[sizes, 1, len(tail)]
+        items = np.empty(len(at) + n_lines, np.int64)
+        items[np.arange(len(at)) + np.repeat(np.arange(n_lines), np.diff(first))] = place[at]
+        after = first[1:] + np.arange(n_lines)  # a line break after each line, last after each text
+        items[after] = n
+        ends = after[np.cumsum(of_text) - 1]
+        items[ends] = n + 1
+        flat, sizes = _gather(_starts(sizes), sizes, flat, items)
+        return flat, np.diff(np.cumsum(sizes)[ends], prepend=0)
+
+    def _mixed(self, texts: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some texts are not cut."""
+        whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
+        found = [np.r_[np.array(x, np.uint32), tail] for x in self._whole(texts.filter(pa.array(whole)).to_pylist())]
+        cut, sizes = self.ragged(texts.filter(pa.array(~whole)), tail.tolist()) if not whole.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        every = np.r_[[len(x) for x in found], sizes].astype(np.int64)
+        order = np.argsort(np.r_[np.flatnonzero(whole), np.flatnonzero(~whole)], kind="stable")
+        return _gather(_starts(every), every, np.concatenate([*found, cut]).astype(np.uint32), order)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.cut:
-            return [self._whole(t) for t in texts]
-        parts = [t.split(" ") for t in texts]
-        for k, (t, p) in enumerate(zip(texts, parts)):
-            if p[0][-1:].isspace():
-                parts[k] = _AFTER_BLACK.split(t)
-        known, out = self._ids_of(set().union(*[p[1:] for p in parts])), []
-        for t, (first, *rest) in zip(texts, parts):
-            try:
-                ids = b"".join(map(known.__getitem__, rest))
-            except TypeError:  # a None: white space of another kind, or more of it
-                first, *rest = _AFTER_BLACK.split(t)
-                ids = b"".join(self._whole(" " + w) for w in rest)
-            out.append(self._whole(first) + ids)
-        return out
-
-
-#: Bytes of text that are encoded at once: the words that they share are looked up once.
-_AT_ONCE = 4 << 20
-
-
-def _larger(batches):
-    """The same rows in batches of at least _AT_ONCE bytes, but for the last."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= _AT_ONCE:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        flat, sizes = self.ragged(pa.array(texts, pa.string()), [])
+        return [x.astype("<u4").tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -188,15 +195,13 @@ def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_
     """
     spark = docs.sparkSession
     batches_of(spark)
-    last = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         e, part, start = encoder(model), TaskContext.get().partitionId(), 0
-        for batch in _larger(batches):
-            found = [ids + last for ids in e.encode([t or "" for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in found], np.int64)
+        for batch in larger(batches):
+            flat, sizes = e.ragged(batch.column("text").fill_null(""), [end_id])
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.view(np.int32)))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
             start += int(ends[-1]) if n else 0

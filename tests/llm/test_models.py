@@ -71,10 +71,8 @@ def test_katz(spark, docs, rows):
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held(r[0]), len(t), sum(w in c for w in t), n)
         assert g.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         assert -math.inf < g.score < 0
-    # each row of the class table, and the words of the rare class with the unseen one, sum to 1
-    assert np.allclose((10**model.table).sum(1), 1)
     unigrams = spark.read.parquet(f"{model.folder}/order=1").collect()
-    assert sum(10**r.log10_p for r in unigrams) + model.unseen == pytest.approx(1)
+    assert sum(model.discounts.get(r.c, 1.0) * r.c / model.tokens * model.keep for r in unigrams) + model.unseen == pytest.approx(1)
 
 
 def test_good_turing():
@@ -162,11 +160,42 @@ def test_token_output(spark, docs, rows):
     assert np.array(one[0].token_ids, "<u4").tobytes() == ids[5]
 
 
+def test_stripes_and_bloom_filters(spark):
+    """Row indexes and Bloom filters are in the files, and a search for an id reads a row group, or none where it is absent."""
+    base = 1 << 33
+    docs = spark.range(20_000).selectExpr(f"id * 2 + {base} AS doc_id", "concat('text number ', id) AS text")
+    token_output.write_tokens(docs, folder := scratch_path(spark, "bloom"), public_tokenizers.path("byte_bpe_50k.json"))
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    orc, conf = jvm.org.apache.orc.OrcFile, spark._jsc.hadoopConfiguration()
+    files = [x for x in spark.read.orc(f"{folder}/data").inputFiles() if x.endswith(".orc")]
+    path = jvm.org.apache.hadoop.fs.Path(files[0])
+    reader = orc.createReader(path, orc.readerOptions(conf))
+    assert (reader.getRowIndexStride(), reader.getCompressionKind().toString()) == (1000, "ZSTD") and reader.getStripes().size() >= 1
+    every = new(jvm.boolean, 7)
+    for i in range(7):
+        every[i] = True
+    index = reader.rows().readRowIndex(0, every, every)
+    held = [x is not None and x.getBloomFilterCount() > 0 for x in index.getBloomFilterIndex()]
+    assert held == [False, True, False, False, False, False, False] and index.getRowGroupIndex()[1].getEntryCount() > 1
+
+    def rows_read(doc_id):
+        sargs = jvm.org.apache.hadoop.hive.ql.io.sarg
+        wanted = sargs.SearchArgumentFactory.newBuilder().equals("doc_id", getattr(sargs.PredicateLeaf, "Type").LONG, doc_id).build()
+        rows, batch, n = reader.rows(reader.options().searchArgument(wanted, new(jvm.java.lang.String, 0))), reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            n += batch.count()
+        return n
+
+    ids = [r.doc_id for r in spark.read.orc(files[0]).select("doc_id").collect()]
+    assert all(0 < rows_read(i) <= 1000 < len(ids) for i in ids[1500:1510])
+    assert sum(rows_read(i + 1) > 0 for i in ids[1500:1600]) < 10  # Bloom filters err for one in a hundred
+
+
 def test_encoder_agrees(spark, sf):
     texts = [r.text for r in table(spark, sf, "documents").select("text").collect()]
     texts += ["", " ", "  a", "a  b", "a   b\n c", "x\n\n y", "don't 's I'll", "a\tb \n c", "<|endoftext|> hi<|endoftext|>", "日本 語。 foo", "foo.\nBar, x", "foo.\n Bar", "a ", "a  ", "é\n\nb", "12.5 abc123 _x", "ª º µ"]
     e = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    e.spaced.MOST = 500
+    e.known.MOST = 500
     got = [x for k in range(0, len(texts), 20) for x in e.encode(texts[k : k + 20])]
     assert [g + b"\2\0\0\0" for g in got] == plain_ids(texts)
     other = token_output.Encoder(public_tokenizers.path("word_bpe_49k.json"))

@@ -263,7 +263,7 @@ def _bigrams(texts: DataFrame, rare_words: DataFrame, model: Model) -> None:
 
     def pairs(cold: bool):
         def deal(batches):
-            for batch in larger(batches, 16 << 20):
+            for batch in larger(batches):
                 keys, line, _ = _coded(batch.column(0), sent.value[0])
                 m, old = len(keys), keys >= _COLD
                 here = np.flatnonzero((line[1:] != m - 1) & (old[line[1:]] == cold))
@@ -343,11 +343,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         base, log_p = base_of(counts), log_of(counts)
         base[-1] = log_p[-1] = 0.0  # words that are not broadcast are added by their buckets
         chunk = TaskContext.get().partitionId() << 24
-        for batch in larger(batches, 16 << 20):
+        for batch in larger(batches, 6 << 20):
             keys, line, sizes = _coded(batch.column(2), known)
             a, size = keys[line], batch.num_rows
             here = np.flatnonzero(a != _BEGIN)
             h, w, at = a[here - 1], a[here], np.repeat(np.arange(size), sizes - 1)
+            del a, line, here
             cold = w >= _COLD
             i = np.where(cold, m - 1, w)
             score = log_p[i]
@@ -355,6 +356,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             spot = _place(k, hot_keys)
             done = hot_keys[spot] == k
             score[done] += hot_gains[spot[done]]
+            del k, spot
             sums = lambda x: np.bincount(at, x, size)  # noqa: E731, B023
             own = [batch.column(0), batch.column(1), pa.array(sizes - 1), pa.array(sums(~cold).astype(np.int64)), pa.array(sums(base[i])), pa.array(sums(score))]
             out = io.BytesIO()
@@ -363,6 +365,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 stream.write_batch(own)
             rows = [(chunk % buckets, 9, size, out.getvalue()), *_dealt(7, _mixed(w[cold]) % np.uint64(buckets), w[cold], at[cold])]
             h, w, at = h[~done], w[~done], at[~done]
+            order = np.argsort(h, kind="stable")  # equal histories side by side take little room
+            h, w, at = h[order], w[order], at[order]
             rows += _dealt(8, _bucket(h, w, split, buckets), h, w, at)
             packed = _batch(rows)
             yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(np.full(len(rows), chunk))], names)

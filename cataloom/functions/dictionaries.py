@@ -1,11 +1,13 @@
 """Dimension tables and word lists.
 
-Lists that results depend on are fixed values. The keyword dictionary here is the default of a parameter: a deployment
-passes its own table (category, keyword) of any size to the classifier.
+Lists that results depend on are fixed values. The dictionaries in keywords.txt and brands.txt are the defaults of parameters: a
+deployment passes its own tables (category, keyword) and (brand, category) of any size to the classifier.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Categories in order, with label, least and greatest plausible price.
@@ -34,51 +36,15 @@ CATEGORIES = [
     ("GENERAL", "General", 1.0, 1.7976931348623157e308),
 ]
 
-# Default keywords of the categories that queries are about most.
-KEYWORDS = {
-    "SMARTPHONE": ["phone", "mobile", "smartphone", "iphone", "android", "galaxy", "redmi", "oppo", "vivo", "realme", "pixel", "ipad", "pro max", "ultra", "plus", "mini", "note"],
-    "LAPTOP": ["laptop", "notebook", "macbook", "thinkpad", "pavilion", "ideapad", "vivobook", "zenbook", "rog", "tuf", "gaming laptop"],
-    "TABLET": ["tab", "tablet", "ipad", "galaxy tab", "mi pad", "matepad", "fire hd"],
-    "DESKTOP": ["desktop", "pc", "cpu", "gaming pc", "monitor", "graphics card", "gpu", "motherboard", "ssd", "power supply", "case"],
-    "HEADPHONE": ["headphone", "headphones", "headset", "earphone", "earbuds", "airpods", "buds", "wh-1000", "tws", "wireless headphone", "jbl", "audio"],
-    "CAMERA": ["camera", "dslr", "mirrorless", "gopro", "lens", "tripod", "drone", "action camera"],
-    "SMARTWATCH": ["watch", "smartwatch", "mi band", "galaxy watch", "apple watch"],
-    "GAMING": ["ps5", "xbox", "nintendo", "controller", "keyboard", "mouse", "gaming chair", "playstation"],
-    "TV": ["tv", "television", "smart tv", "led tv", "oled", "qled", "android tv"],
-    "APPLIANCE": ["microwave", "oven", "blender", "mixer", "washing machine", "iron", "rice cooker", "kettle", "fan"],
-    "AC": ["ac", "air conditioner", "split ac", "inverter ac"],
-    "REFRIGERATOR": ["fridge", "refrigerator", "freezer", "deep freezer"],
-    "KITCHEN": ["pan", "pot", "cookware", "knife", "dinner set", "mug", "glass"],
-    "FASHION": ["saree", "panjabi", "shirt", "t-shirt", "jeans", "shoe", "watch", "bag", "jacket"],
-    "BEAUTY": ["cream", "lotion", "serum", "lipstick", "face wash", "shampoo", "perfume"],
-    "BOOK": ["book", "novel", "poetry", "story", "textbook"],
-    "GROCERY": ["rice", "oil", "sugar", "flour", "tea", "coffee", "milk"],
-    "BABY": ["diaper", "baby food", "stroller", "toy"],
-    "SPORTS": ["cricket", "bat", "football", "yoga mat"],
-    "AUTOMOTIVE": ["car", "bike", "motorcycle", "helmet"],
-    "FURNITURE": ["sofa", "bed", "mattress", "table", "chair"],
-}
-
-# Brands and the categories they lean to.
-BRANDS = {
-    "walton": ["AC", "REFRIGERATOR", "APPLIANCE", "TV", "SMARTPHONE"],
-    "lg": ["TV", "REFRIGERATOR", "AC", "APPLIANCE"],
-    "apple": ["SMARTPHONE", "LAPTOP", "TABLET", "HEADPHONE", "SMARTWATCH"],
-    "xiaomi": ["SMARTPHONE", "SMARTWATCH", "HEADPHONE", "APPLIANCE"],
-    "asus": ["LAPTOP", "DESKTOP", "GAMING"],
-    "lenovo": ["LAPTOP", "DESKTOP", "TABLET"],
-    "hp": ["LAPTOP", "DESKTOP"],
-    "dell": ["LAPTOP", "DESKTOP"],
-    "sony": ["HEADPHONE", "TV", "CAMERA", "GAMING"],
-    "jbl": ["HEADPHONE"],
-    "canon": ["CAMERA"],
-    "nikon": ["CAMERA"],
-    "gree": ["AC"],
-    "nike": ["FASHION", "SPORTS"],
-    "nivea": ["BEAUTY"],
-    "pran": ["GROCERY"],
-    "humayun ahmed": ["BOOK"],
-}
+def _listed(name: str) -> dict[str, list[str]]:
+    """A file of lines "key: value, value" beside this module, in its order."""
+    lines = (Path(__file__).parent / name).read_text(encoding="utf-8").splitlines()
+    parts = [line.split(": ", 1) for line in lines if line and not line.startswith("#")]
+    return {key: values.split(", ") for key, values in parts}
+
+
+#: Keywords of each category, and the categories that each brand leans to.
+KEYWORDS, BRANDS = _listed("keywords.txt"), _listed("brands.txt")
 
 # Accessories, and words that a match need not hold.
 ACCESSORY_WORDS = ["case", "cover", "skin", "sleeve", "pouch", "tempered", "protector", "guard", "holder", "stand", "mount", "tripod", "cable", "adapter", "dock", "strap", "screen", "film", "sticker", "ring", "popsocket", "carrying", "wallpaper"]

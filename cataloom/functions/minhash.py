@@ -30,12 +30,19 @@ def coefficients(n: int = HASHES, seed: int = SEED) -> list[tuple[int, int]]:
 
 def signature_udf(n: int = HASHES):
     """An Arrow function from an array of shingle hashes (unsigned 32 bits) to the signature; no shingles give PRIME everywhere."""
-    a, b = (np.array(x, np.int64)[:, None] for x in zip(*coefficients(n)))
+    pairs = coefficients(n)
 
     @F.pandas_udf("array<long>")
     def signature(hashes: pd.Series) -> pd.Series:
-        empty = np.full(n, PRIME, np.int64)
-        return hashes.map(lambda h: ((a * np.asarray(h, np.int64) + b) % PRIME).min(1) if h is not None and len(h) else empty)
+        sizes = np.array([0 if h is None else len(h) for h in hashes], np.int64)
+        out = np.full((len(hashes), n), PRIME, np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):  # all rows' shingles at once, one hash after another
+            flat = np.concatenate([np.asarray(hashes.iloc[i], np.int64) for i in some])
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            for k, (a, b) in enumerate(pairs):
+                out[some, k] = np.minimum.reduceat((a * flat + b) % PRIME, starts)
+        return pd.Series(list(out))
 
     return signature
 

@@ -19,6 +19,13 @@ def query_tokens(normalised: Column) -> Column:
     return F.filter(F.split(normalised, r"\s+"), lambda t: F.length(t) >= 2)
 
 
+def stem(word: Column) -> Column:
+    """A word of Latin letters without a plural or verb ending: s, es after a hissing sound, ies to y, ing and ed after three letters."""
+    w = word
+    w = F.when(w.rlike("[a-z]{2}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(w, "es$", "")).when(w.rlike("[a-z]{2}[^su]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+    return F.when(w.rlike("[a-z]{3}ing$"), F.regexp_replace(w, "ing$", "")).when(w.rlike("[a-z]{3}ed$"), F.regexp_replace(w, "ed$", "")).otherwise(w)
+
+
 def token_coverage(name: Column, tokens: Column) -> Column:
     """Share of the tokens that the name holds as substrings; 0 without tokens."""
     low = F.lower(name)
@@ -100,7 +107,7 @@ def match_key(name: Column) -> Column:
 
 
 def xml_escape(x: Column) -> Column:
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         x = F.replace(x, F.lit(raw), F.lit(escaped))
     return x
 

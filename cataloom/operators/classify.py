@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalise_query
+from cataloom.session import small_side
 
 MODEL_TOKEN = r"^[a-z0-9]*\d+[a-z0-9]*$"
 
 
-def ngrams(queries: DataFrame, longest: int = 2) -> DataFrame:
+#: Rows of a dictionary that is broadcast (some 10 MB); a larger one is joined by a shuffle.
+BROADCAST_TERMS = 100_000
+
+
+def longest(terms: DataFrame, column: str) -> int:
+    """How many words the longest term of a dictionary has; 1 for an empty one."""
+    return terms.agg(F.max(F.size(F.split(F.trim(column), r"\s+")))).first()[0] or 1
+
+
+def ngrams(queries: DataFrame, longest: int) -> DataFrame:
     """(query_id, place, gram, words): all runs of up to longest tokens of the normalised query; a word-bounded hit is one of them."""
     tokens = queries.select("query_id", F.filter(F.split(normalise_query(F.col("query")), " "), lambda t: F.length(t) > 0).alias("t"))
     exploded = None
@@ -22,10 +32,13 @@ def ngrams(queries: DataFrame, longest: int = 2) -> DataFrame:
 
 
 def scores(queries: DataFrame, keywords: DataFrame, brands: DataFrame, categories: DataFrame) -> DataFrame:
-    """(query_id, category, ordinal, score): 3 for each hit of several words, 2 for each of one, 1 for a brand's leaning, once."""
-    grams = ngrams(queries)
-    hit = grams.join(F.broadcast(keywords.withColumnRenamed("keyword", "gram")), "gram").select("query_id", "category", F.when(F.col("words") > 1, 3).otherwise(2).alias("points"))
-    leaning = grams.join(F.broadcast(brands.withColumnRenamed("brand", "gram")), "gram").select("query_id", "category").distinct().withColumn("points", F.lit(1))
+    """(query_id, category, ordinal, score): 3 for each hit of several words, 2 for each of one, 1 for a brand's leaning, once.
+
+    Runs of tokens are as long as the longest term of the dictionaries.
+    """
+    grams = ngrams(queries, max(longest(keywords, "keyword"), longest(brands, "brand")))
+    hit = grams.join(small_side(keywords.withColumnRenamed("keyword", "gram"), BROADCAST_TERMS), "gram").select("query_id", "category", F.when(F.col("words") > 1, 3).otherwise(2).alias("points"))
+    leaning = grams.join(small_side(brands.withColumnRenamed("brand", "gram"), BROADCAST_TERMS), "gram").select("query_id", "category").distinct().withColumn("points", F.lit(1))
     total = hit.unionByName(leaning).groupBy("query_id", "category").agg(F.sum("points").alias("score"))
     return total.join(F.broadcast(categories.select(F.col("name").alias("category"), "ordinal")), "category")
 
@@ -55,7 +68,7 @@ def classify(queries: DataFrame, keywords: DataFrame, brands: DataFrame, categor
 def brand_mentions(queries: DataFrame, brands: DataFrame) -> DataFrame:
     """(query_id, brands): every occurrence, by where it ends."""
     names = brands.select(F.col("brand").alias("gram")).distinct()
-    hits = ngrams(queries).join(F.broadcast(names), "gram")
+    hits = ngrams(queries, longest(brands, "brand")).join(small_side(names, BROADCAST_TERMS), "gram")
     return hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("brands"))
 
 

@@ -27,6 +27,23 @@ def by_price_url(site_prices: DataFrame, url: str) -> DataFrame:
     return hits.groupBy().agg(F.count("*").alias("n"), F.min("product_id").alias("product_id")).where("n = 1").select("product_id")
 
 
+def find_by(table: DataFrame, column: str, value) -> DataFrame:
+    """Rows by a secondary key: slug, status, username, email, base URL or category; a null value finds nothing."""
+    return table.where(F.col(column) == F.lit(value))
+
+
+def count_by(table: DataFrame, column: str, value) -> DataFrame:
+    """(n): how many rows have that secondary key."""
+    return find_by(table, column, value).agg(F.count("*").alias("n"))
+
+
+def children(rows: DataFrame, **keys) -> DataFrame:
+    """Rows of one parent, by one key or several: reviews of a product or of its site, a user's wishlist or saved searches, pending ones by status."""
+    for column, value in keys.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
 def listing(table: DataFrame, text: str | None = None, category: str | None = None, page: int = 0, size: int = 20) -> DataFrame:
     """A page by id of the rows whose name holds the text and whose category is that, with their total number."""
     if text:
@@ -50,9 +67,10 @@ def sellers(table: DataFrame, category: str | None = None, city: str | None = No
 
 
 def suggest(products: DataFrame, site_prices: DataFrame) -> DataFrame:
-    """(id, name, category, lowest_price, seller_count)."""
+    """(id, name, slug, category, lowest_price, seller_count, image_url); a slug or image that the table has no column for is null."""
     n = site_prices.groupBy("product_id").agg(F.count("*").alias("n"))
-    return products.join(n, F.col("id") == F.col("product_id"), "left").select("id", "name", "category", "lowest_price", F.coalesce("n", F.lit(0)).alias("seller_count"))
+    held = {c: F.col(c) if c in products.columns else F.lit(None).cast("string").alias(c) for c in ("slug", "image_url")}
+    return products.join(n, F.col("id") == F.col("product_id"), "left").select("id", "name", held["slug"], "category", "lowest_price", F.coalesce("n", F.lit(0)).alias("seller_count"), held["image_url"])
 
 
 def preview(products: DataFrame) -> DataFrame:
@@ -69,8 +87,9 @@ def recent_queries(jobs: DataFrame, jobs_read: int = 10, most: int = 5) -> DataF
 
 
 def wishlist(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items with their product; missing marks products that are gone."""
-    return items.join(products.withColumnRenamed("id", "product_id"), "product_id", "left").withColumn("missing", F.col("name").isNull())
+    """Items with their product; missing marks products that are gone, not those without a name."""
+    found = products.withColumnRenamed("id", "product_id").withColumn("missing", F.lit(False))
+    return items.join(found, "product_id", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
 
 
 #: What an operator's console shows of a shop; columns that a table lacks are null.

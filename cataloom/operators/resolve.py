@@ -41,6 +41,33 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["band", "slice"]).where("key <> other").select("key", "other").distinct()
 
 
+def alike_components(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of the nodes of sigs (node, key, sig) that are alike, directly or through others.
+
+    Members of a bucket are compared with its smallest node first, and these links contracted; only buckets that still
+    hold two components are compared further, and only across them. k names that are alike thus give k pairs, not k squared.
+    """
+    cut = materialize(bands(sigs.select(F.col("node").alias("key"), "sig")).withColumnRenamed("key", "node"), "bands")
+    low = cut.groupBy("band", "slice").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = materialize(cut.join(low, ["band", "slice"]), "buckets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (src, dst) whose signatures are alike enough."""
+        one, two = sigs.select(F.col("node").alias("src"), F.col("sig").alias("s1")), sigs.select(F.col("node").alias("dst"), F.col("sig").alias("s2"))
+        return pairs.join(one, "src").join(two, "dst").where(minhash.estimated_jaccard(F.col("s1"), F.col("s2")) >= threshold)
+
+    stars = buckets.where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
+    first = connected_components(linked(stars).select("src", "dst"))
+    member = materialize(buckets.join(first, "node", "left").select("band", "slice", "node", F.coalesce("root", "node").alias("root")), "members")
+    mixed = member.groupBy("band", "slice").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "slice")
+    rest = materialize(member.join(mixed, ["band", "slice"], "left_semi"), "mixed")
+    other = rest.select("band", "slice", F.col("node").alias("dst"), F.col("root").alias("root2"))
+    across = rest.withColumnRenamed("node", "src").join(other, ["band", "slice"]).where("root < root2").select("src", "dst", "root", "root2").distinct()
+    second = connected_components(linked(across).select(F.col("root").alias("src"), F.col("root2").alias("dst")))
+    labelled = sigs.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def best_matches(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, other, score): the most alike key of right for each of left, by estimated Jaccard; ties to the smaller key."""
     pairs = candidates(left, right)
@@ -67,10 +94,7 @@ def resolve(catalog: DataFrame, offers: DataFrame, threshold: float = THRESHOLD)
     best = best_matches(left.join(by_key, "key", "left_anti"), right, threshold)
     named = materialize(equal.select("key", "id").unionByName(best.join(by_key.withColumnRenamed("key", "other"), "other").select("key", "id")), "named")
     fresh = materialize(left.join(named, "key", "left_anti").withColumn("node", F.xxhash64("key")), "fresh")
-    pairs = candidates(fresh.select("key", "sig"), fresh.select("key", "sig")).where("key < other")
-    scored = pairs.join(fresh.select("key", F.col("sig").alias("s1"), F.col("node").alias("src")), "key").join(fresh.select(F.col("key").alias("other"), F.col("sig").alias("s2"), F.col("node").alias("dst")), "other")
-    edges = scored.where(minhash.estimated_jaccard(F.col("s1"), F.col("s2")) >= threshold).select("src", "dst")
-    roots = fresh.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = fresh.join(alike_components(fresh, threshold), "node")
     groups = roots.join(roots.groupBy("root").agg(F.min("key").alias("low")), "root").select("key", F.concat(F.lit("new:"), "low").alias("new_id"))
     out = known.join(named.select("key", F.col("id").alias("name_id")), "key", "left").join(groups, "key", "left")
     how = F.when(F.col("url_id").isNotNull(), "url").when(F.col("name_id").isNotNull(), "name").otherwise("new")
@@ -81,7 +105,4 @@ def resolve(catalog: DataFrame, offers: DataFrame, threshold: float = THRESHOLD)
 def groups_by_name(names: DataFrame, threshold: float = THRESHOLD, hashes: int = minhash.HASHES) -> DataFrame:
     """(key, root): match keys that are alike, directly or through others, under their smallest node."""
     sigs = materialize(signatures(names, hashes).withColumn("node", F.xxhash64("key")), "sigs")
-    pairs = candidates(sigs.select("key", "sig"), sigs.select("key", "sig")).where("key < other")
-    scored = pairs.join(sigs.select("key", F.col("sig").alias("s1"), F.col("node").alias("src")), "key").join(sigs.select(F.col("key").alias("other"), F.col("sig").alias("s2"), F.col("node").alias("dst")), "other")
-    edges = scored.where(minhash.estimated_jaccard(F.col("s1"), F.col("s2")) >= threshold).select("src", "dst")
-    return sigs.select("key", "node").join(connected_components(edges), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return sigs.select("key", "node").join(alike_components(sigs, threshold), "node").select("key", "root")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.dictionaries import ACCESSORY_WORDS
 from cataloom.functions.numbers import price_confidence
-from cataloom.functions.text import normalise_query, query_tokens, significant, token_coverage, trigrams, word_set
+from cataloom.functions.text import has_all_tokens, normalise_query, query_tokens, significant, stem, token_coverage, trigrams, word_set
+from cataloom.operators.classify import brand_mentions, classify
 
 PAGE = 30
 
@@ -17,16 +18,17 @@ def search(products: DataFrame, query: str, page: int = PAGE) -> DataFrame:
 
     Pass 1 takes page products that share a token, pass 2 page ones whose name holds all tokens, pass 3 all whose name holds the
     query; a pass counts only while earlier ones have found fewer than page. One scan labels each product with its passes;
-    early exit is a comparison with the passes' sizes, not a second scan. Words are compared as they are, without stems.
+    early exit is a comparison with the passes' sizes, not a second scan. Words are compared by their stems. A blank query finds
+    nothing.
     """
     spark = products.sparkSession
     asked = spark.range(1).select(query_tokens(normalise_query(F.lit(query))).alias("t"), F.trim(F.lower(F.lit(query))).alias("q")).first()
     tokens = F.array(*map(F.lit, asked["t"])) if asked["t"] else F.array().cast("array<string>")
     name = F.lower("name")
     text = F.concat_ws(" ", name, F.lower("description")) if "description" in products.columns else name
-    shares = F.arrays_overlap(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), tokens)
-    holds = F.lit(bool(asked["t"])) & F.forall(tokens, lambda t: F.contains(name, t))
-    raw = F.contains(name, F.lit(asked["q"]))
+    shares = F.arrays_overlap(F.transform(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), stem), F.transform(tokens, stem))
+    holds = F.lit(bool(asked["t"])) & has_all_tokens(F.col("name"), tokens)
+    raw = F.contains(name, F.lit(asked["q"])) & F.lit(bool(asked["q"]))
     found = products.select("id", "name", "lowest_price", F.array_compact(F.array(F.when(shares, 1), F.when(holds, 2), F.when(raw, 3))).alias("passes")).where(F.size("passes") > 0)
     one = found.where(F.array_contains("passes", 1)).orderBy("id").limit(page).withColumn("pass", F.lit(1))
     two = found.where(F.array_contains("passes", 2)).orderBy("id").limit(page).withColumn("pass", F.lit(2))
@@ -47,12 +49,35 @@ def sites_searched(results: DataFrame, site_prices: DataFrame) -> DataFrame:
     return site_prices.join(results.select(F.col("id").alias("product_id")), "product_id", "left_semi").select("site_id").where("site_id is not null").distinct()
 
 
+def response(found: DataFrame, site_prices: DataFrame, query: str, keywords: DataFrame, brands: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row (query, total_results, sites, detected_category, categories, brands, confidence) beside the results of search().
+
+    sites are the sites of the results in the order in which the ranked results show them, a product's own by id. Categories are
+    labels, best first.
+    """
+    rank = F.struct((-F.col("coverage")).alias("c"), F.col("lowest_price").isNull().alias("none"), "lowest_price", "pass", "id")
+    seen = found.select(F.col("id").alias("product_id"), rank.alias("rank")).join(site_prices.select("product_id", "site_id"), "product_id").where("site_id is not null")
+    first = seen.groupBy("site_id").agg(F.min("rank").alias("at"))
+    sites = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "site_id"))), lambda x: x["site_id"]).alias("sites"))  # a page's sites
+    asked = found.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    intent = classify(asked, keywords, brands, categories).join(brand_mentions(asked, brands), "query_id", "left")
+    label = F.map_from_entries(F.array(*[F.struct(F.lit(r["name"]), F.lit(r["label"])) for r in categories.select("name", "label").collect()]))  # a dimension of some twenty rows
+    one = intent.crossJoin(found.agg(F.count("*").alias("total_results"))).crossJoin(sites)  # one row each
+    labels = F.transform("categories", lambda c: label[c])
+    none = F.array().cast("array<string>")
+    return one.select(F.lit(query).alias("query"), "total_results", "sites", F.coalesce(F.get(labels, F.lit(0)), F.lit("General")).alias("detected_category"), labels.alias("categories"), F.coalesce("brands", none).alias("brands"), "confidence")
+
+
 def autocomplete(products: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
-    """(id, name, lowest_price): names that hold the text anywhere, one for each lower-cased name; 1 to 20."""
+    """(id, name, lowest_price): the first names that hold the text anywhere, 1 to 20, of which each lower-cased name stays once; none for a blank."""
     typed = prefix.strip().lower()
-    hits = products.where(F.contains(F.lower("name"), F.lit(typed)))
-    one = hits.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("id", "name", "lowest_price"), "id").alias("p")).select("p.*")
-    return one.orderBy("id").limit(max(1, min(20, limit)))
+    hits = products.where(F.contains(F.lower("name"), F.lit(typed)) & F.lit(bool(typed))).orderBy("id").limit(max(1, min(20, limit)))
+    return hits.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("id", "name", "lowest_price"), "id").alias("p")).select("p.*").orderBy("id")
+
+
+def in_stock_names(results: DataFrame) -> DataFrame:
+    """Rows with a name that is not blank and a price: what the validator looks at."""
+    return results.where(F.col("price").isNotNull() & (F.trim("name") != ""))
 
 
 def trigram_top(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
@@ -99,7 +124,7 @@ def validate(results: DataFrame, intents: DataFrame, categories: DataFrame) -> D
     lack a significant query word; names with an accessory word that the query has not.
     """
     accessory = F.array(*map(F.lit, ACCESSORY_WORDS))
-    rows = results.join(intents, "query_id").where(F.col("price").isNotNull() & (F.trim("name") != ""))
+    rows = in_stock_names(results).join(intents, "query_id")
     spans = categories.select(F.col("name").alias("c"), "min_price", "max_price").collect()  # a dimension of some twenty rows
     bounds = F.create_map(*[x for r in spans for x in (F.lit(r["c"]), F.struct(F.lit(r["min_price"]).alias("low"), F.lit(r["max_price"]).alias("high")))])
     plausible = F.exists("categories", lambda c: F.col("price").between(bounds[c]["low"], bounds[c]["high"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions import dictionaries, minhash, numbers, text, urls
-from cataloom.operators import classify, events, health, lookups, mutations, prices, ratelimit, resolve, search
+from cataloom.operators import classify, events, health, lifecycle, lookups, mutations, prices, ratelimit, resolve, search
 from cataloom.session import table
 from cataloom.sources import files, fixtures, html
 from cataloom.sources.fixtures import EVENTS_AS_OF, PRICES_AS_OF
@@ -35,6 +35,7 @@ ROUND1 = lambda x: f"floor(({x}) * 10 + 0.5) / 10"
 HISTORY = "SELECT l_partkey AS product_id, l_suppkey AS site_id, l_extendedprice / l_quantity AS price, l_shipdate AS recorded_at, l_orderkey AS order_id, l_linenumber AS line FROM lineitem"
 SITE_PRICE = """SELECT l_partkey AS product_id, l_suppkey AS site_id, l_extendedprice / l_quantity AS price, l_discount AS discount, l_tax * 50 AS rating, CAST(l_quantity AS INT) AS review_count,
  l_linestatus = 'O' AS in_stock, l_shipdate AS last_updated FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1"""
+_SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 EVENT = "SELECT event_id AS id, event_type AS type, user_id AS actor, k AS product_id, k % 10 AS shop_id, 'term ' || k AS query, k % 4 AS result_count, CAST(floor(value) AS BIGINT) AS latency_ms, ts FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
 
 
@@ -195,7 +196,13 @@ def host_gaps(spark, d):
     return health.host_gaps(fixtures.event(spark, d).withColumnRenamed("actor", "host"), 600_000).select("host", "id", "ts", "too_soon")
 
 
-@query()
+_REFILLED = "least(3.0::DOUBLE, f.tokens + greatest(0.0::DOUBLE, e.s - f.s) * (1.0::DOUBLE / 86400.0::DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT key, id, ts, s, n, true AS allowed, 2.0::DOUBLE AS tokens FROM e WHERE n = 1
+UNION ALL SELECT e.key, e.id, e.ts, e.s, e.n, {_REFILLED} >= 1, {_REFILLED} - CASE WHEN {_REFILLED} >= 1 THEN 1 ELSE 0 END FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+SELECT key, id, ts, allowed FROM f""")
 def rate_limit_fold(spark, d):
     return ratelimit.rate_limit(fixtures.event(spark, d), 3, 1 / 86400)
 
@@ -215,9 +222,11 @@ def catalog_page(spark, d):
     return lookups.listing(products, "RED", category, page=1).select("id", "name", F.col("total").cast("long").alias("total"))
 
 
-@query(f"WITH s AS ({SITE_PRICE}) SELECT p_partkey AS id, p_name AS name, p_type AS category, p_retailprice AS lowest_price, coalesce(n, 0) AS seller_count FROM part LEFT JOIN (SELECT product_id, count(*) AS n FROM s GROUP BY 1) ON product_id = p_partkey")
+@query(f"WITH s AS ({SITE_PRICE}) SELECT p_partkey AS id, p_name AS name, {_SLUG} AS slug, p_type AS category, p_retailprice AS lowest_price, coalesce(n, 0) AS seller_count, CASE WHEN p_partkey % 3 = 0 THEN 'https://img.test/' || p_partkey END AS image_url FROM part LEFT JOIN (SELECT product_id, count(*) AS n FROM s GROUP BY 1) ON product_id = p_partkey")
 def suggestions(spark, d):
-    return lookups.suggest(fixtures.product(spark, d), fixtures.site_price(spark, d))
+    image = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://img.test/"), F.col("id").cast("string")))
+    products = fixtures.product(spark, d).withColumns({"slug": text.slug(F.col("name")), "image_url": image})
+    return lookups.suggest(products, fixtures.site_price(spark, d))
 
 
 @query(f"WITH s AS ({SITE_PRICE}) SELECT p_partkey AS id, p_name AS name, CAST(floor(p_retailprice) AS BIGINT) AS price, CASE WHEN coalesce(n, 0) > 1 THEN n || ' sellers' END AS badge, upper(p_type) AS category FROM part LEFT JOIN (SELECT product_id, count(*) AS n FROM s GROUP BY 1) ON product_id = p_partkey")
@@ -239,7 +248,7 @@ def recent_searches(spark, d):
 # -- search and classification
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS lowest_price FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part WHERE contains(lower(p_name), 'bl')) WHERE rn = 1 ORDER BY id LIMIT 8")
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS lowest_price FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM (SELECT * FROM part WHERE contains(lower(p_name), 'bl') ORDER BY p_partkey LIMIT 8)) WHERE rn = 1")
 def autocomplete(spark, d):
     return search.autocomplete(fixtures.product(spark, d), "Bl")
 
@@ -270,7 +279,11 @@ def trigram_topk(spark, d):
     return search.trigram_top(asked, fixtures.product(spark, d), 5)
 
 
-@query()
+_WORDS = "string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')"
+_FUZZY = " + ".join(f"CASE WHEN len(list_filter(w, lambda x: levenshtein(x, '{t}') <= 1)) > 0 THEN 3 ELSE 0 END + CASE WHEN len(list_filter(w, lambda x: starts_with(x, '{t}'))) > 0 THEN 2 ELSE 0 END" for t in ("rad", "bolt"))
+
+
+@query(f"SELECT id, name, CAST(score AS INT) AS score FROM (SELECT p_partkey AS id, p_name AS name, {_FUZZY} AS score FROM (SELECT *, {_WORDS} AS w FROM part)) WHERE score > 0 ORDER BY score DESC, id LIMIT 30")
 def fuzzy_search(spark, d):
     return search.fuzzy_name_search(fixtures.product(spark, d), "rad bolt")
 
@@ -303,17 +316,40 @@ def classify_terms(spark, d):
     return found.select("query_id", F.array_join("categories", ",").alias("categories"), "confidence")
 
 
-@query()
-def brand_mentions(spark, d):
-    return classify.brand_mentions(customer_queries(spark, d), dictionaries.brand_dim(spark))
+_QUERY_SQL = f"""q AS (SELECT c_custkey AS query_id, t[(c_custkey * 7 + 1) % {len(_TERMS)} + 1] || ' ' || t[(c_custkey * 13 + 5) % {len(_TERMS)} + 1] || ' ' || t[(c_custkey * 29 + 3) % {len(_TERMS)} + 1] AS query FROM customer, (SELECT {_TERM_SQL} AS t)),
+tok AS (SELECT query_id, string_split(trim(regexp_replace(regexp_replace(lower(query), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS t FROM q),
+g AS (SELECT query_id, unnest(t) AS gram, generate_subscripts(t, 1) AS place FROM tok UNION ALL SELECT query_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])), unnest(generate_series(2, len(t))) FROM tok)"""
 
 
-@query()
+@query(f"""WITH br(gram) AS (SELECT DISTINCT x FROM (VALUES {", ".join(f"('{b}')" for b in dictionaries.BRANDS)}) AS v(x)), {_QUERY_SQL} SELECT query_id, string_agg(gram, ',' ORDER BY place, gram) AS brands FROM g JOIN br USING (gram) GROUP BY 1""")
+def brand_mentions(spark, d):
+    found = classify.brand_mentions(customer_queries(spark, d), dictionaries.brand_dim(spark))
+    return found.select("query_id", F.array_join("brands", ",").alias("brands"))
+
+
+#: Queries of the validator, each of one category without model words but the last.
+VALIDATED = [(1, "red bolt", "GENERAL", []), (2, "blue gear case", "KITCHEN", []), (3, "the green widget", "GENERAL", []), (4, "steel x9", "GENERAL", ["bolt"])]
+_INTENTS = ", ".join(f"({i}, '{q}', '{c}', [{', '.join(repr(t) for t in m)}]::VARCHAR[])" for i, q, c, m in VALIDATED)
+_SPANS = ", ".join(f"('{c}', {low}::DOUBLE, {high}::DOUBLE)" for c, _, low, high in dictionaries.CATEGORIES)
+_SQL_WORDS = lambda x: f"list_distinct(list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 2))"
+_SQL_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+@query(f"""WITH i(query_id, query, category, model) AS (VALUES {_INTENTS}), span(category, low, high) AS (VALUES {_SPANS}),
+n AS (SELECT p_name AS name, min(p_retailprice) AS price FROM part GROUP BY 1),
+r AS (SELECT query_id, name, price, low, high, model, {_SQL_WORDS("query")} AS a, {_SQL_WORDS("name")} AS t, lower(name) AS l, CASE WHEN query_id % 2 = 0 AND length(name) % 2 = 0 THEN 0.0 ELSE 1.0 END AS stock FROM n, i JOIN span USING (category) WHERE trim(name) <> ''),
+k AS (SELECT *, list_has_any(t, model) AS m, len(list_intersect(a, t)) AS s FROM r WHERE price BETWEEN low AND high
+ AND (list_has_any(t, model) OR len(list_filter(a, lambda x: length(x) >= 3 AND NOT list_contains({_SQL_LIST(dictionaries.STOP_WORDS)}, x) AND NOT contains(l, x))) = 0)
+ AND len(list_filter(string_split(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: list_contains({_SQL_LIST(dictionaries.ACCESSORY_WORDS)}, x) AND NOT list_contains(a, x))) = 0),
+z AS (SELECT *, CASE WHEN m THEN 1.0 ELSE least(1.0, 0.55::DOUBLE * s / greatest(len(a) + len(t) - s, 1) + 0.45::DOUBLE * s / greatest(len(a), 1)) END AS sim, greatest(0.4::DOUBLE, 1 - abs(ln(price) - ln(sqrt(low * least(high, low * 1000)))) / 5.0) AS near FROM k)
+SELECT query_id, name, price, round(sim::DOUBLE, 6) AS similarity, round(0.7::DOUBLE * sim + 0.2::DOUBLE * near + 0.1::DOUBLE * stock, 6) AS score FROM z""")
 def validated_results(spark, d):
     names = fixtures.product(spark, d).groupBy("name").agg(F.min("lowest_price").alias("price"))
-    results = names.select(F.lit(1).alias("query_id"), "name", "price", F.lit(True).alias("in_stock"))
-    intents = spark.createDataFrame([(1, "red bolt", ["GENERAL"], [])], "query_id int, query string, categories array<string>, model_tokens array<string>")
-    return search.validate(results, intents, dictionaries.category_dim(spark))
+    asked = F.explode(F.array(*[F.lit(i) for i, *_ in VALIDATED])).alias("query_id")
+    results = names.select(asked, "name", "price").withColumn("in_stock", ~((F.col("query_id") % 2 == 0) & (F.length("name") % 2 == 0)))
+    intents = spark.createDataFrame([(i, q, [c], m) for i, q, c, m in VALIDATED], "query_id int, query string, categories array<string>, model_tokens array<string>")
+    found = search.validate(results, intents, dictionaries.category_dim(spark))
+    return found.select("query_id", "name", "price", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
 # -- scalar library
@@ -326,8 +362,13 @@ def name_shingles(spark, d):
     return names.select("name", F.explode(text.shingles(text.shingle_form(F.col("name")), 4)).alias("shingle"))
 
 
+# Written out once more, so that a slip in the library's patterns shows.
 _KEY = "lower(p_name)"
-for _p in text.MATCH_PATTERNS:
+for _p in (
+    r"\([^)]*\)", r"\[[^\]]*\]", r"\b(with|w/?)\s+(retractable\s+)?(usb[- ]?c\s+)?cable\b", r"\bwith\s+charging\s+case\b", r"\b(price|in)\s+bangladesh\b",
+    r"\b\d+\s*[/\\]\s*\d+\s*(gb|tb|mb)\b", r"\b\d{2,4}\s*(gb|tb)\b", r"\b\d{1,2}\s*gb\b",
+    r"\b(titanium|black|white|silver|gold|blue|red|green|graphite|onyx|natural|desert|midnight)\b",
+):
     _KEY = f"regexp_replace({_KEY}, '{_p}', ' ', 'g')"
 _KEY = f"trim(regexp_replace(regexp_replace({_KEY}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -342,10 +383,10 @@ def slugify(spark, d):
     return fixtures.product(spark, d).select("id", text.slug(F.concat_ws(" ", "name", "brand")).alias("slug"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, 'now ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || '.5 or TK ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS t FROM lineitem)
-SELECT l_orderkey, l_linenumber, floor(CAST(regexp_extract(t, '[0-9]+') AS DOUBLE)) + 0.5 AS price FROM p WHERE CAST(regexp_extract(t, '[0-9]+') AS BIGINT) >= 10""")
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN e >= 10 THEN e + 0.5 WHEN q >= 5 THEN q END::DOUBLE AS price FROM p""")
 def price_parse(spark, d):
-    rows = table(spark, d, "lineitem").where(F.floor("l_extendedprice") >= 10)
+    rows = table(spark, d, "lineitem")
     label = F.concat(F.lit("now "), F.floor("l_extendedprice").cast("long").cast("string"), F.lit(".5 or TK "), F.col("l_quantity").cast("long").cast("string"))
     return rows.select("l_orderkey", "l_linenumber", numbers.first_price(label).alias("price"))
 
@@ -356,12 +397,15 @@ def ip_hash(spark, d):
     return users.select("user_id", text.ip_hash(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))).alias("hash"))
 
 
+# Written out once more, as above.
+_JUNK = r"(?i)/(login|register|cart|checkout|account|wishlist|track|order|wp-admin|wp-content|wp-includes|wp-json|feed|comments?|tag/|tags/|author/|page/[0-9]|blog/|news/|press/|about|contact|privacy|terms|policy|help|faq|support|sale\.php|search|return|refund|career)/?"
+_PRODUCT, _CATEGORY = r"(?i)/(product|products|p|item|sku|book|catalog/product)/[^/?#]+", r"(?i)/(category|categories|cat|c|shop|brand|brands|department|collection|collections)/[^/?#]+"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
 @query(rf"""WITH u AS (SELECT page_id, {_PATH} AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, url FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(path, '{urls.LINK_JUNK}') THEN 'drop' WHEN regexp_matches(path, '{urls.LINK_PRODUCT}') OR regexp_matches(q, '{urls.LINK_PRODUCT_QUERY}') THEN 'product'
-WHEN regexp_matches(path, '{urls.LINK_CATEGORY}') OR regexp_matches(q, '{urls.LINK_CATEGORY_QUERY}') THEN 'category' WHEN regexp_matches(path, '{urls.LINK_LONG_SLUG}') AND length(path) - length(replace(path, '-', '')) >= 4 THEN 'product' ELSE 'drop' END AS class,
+SELECT page_id, CASE WHEN regexp_matches(path, '{_JUNK}') THEN 'drop' WHEN regexp_matches(path, '{_PRODUCT}') OR regexp_matches(q, '(?i)route=product/product') THEN 'product'
+WHEN regexp_matches(path, '{_CATEGORY}') OR regexp_matches(q, '(?i)route=product/category') THEN 'category' WHEN regexp_matches(path, '(?i)^/[a-z0-9][a-z0-9-]{{19,}}$') AND length(path) - length(replace(path, '-', '')) >= 4 THEN 'product' ELSE 'drop' END AS class,
 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_replace(split_part(url, '#', 1), '/$', '') AS canon FROM u""")
 def url_classify(spark, d):
     u = F.col("url")
@@ -387,36 +431,83 @@ def page_links(spark, d):
     return html.links(fixtures.page(spark, d))
 
 
-@query()
+def product_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url, html): a page for each product, whose offer is in JSON-LD, OpenGraph, microdata or plain markup in turn."""
+    c, text_of = F.col, lambda x: F.col(x).cast("string")
+    price, size = F.format_string("%.2f", "p_retailprice"), text_of("p_size")
+    stock = F.when(c("p_size") % 2 == 0, "InStock").otherwise("OutOfStock")
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    ld = say('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"', c("p_name"), '","image":["/i/', text_of("p_partkey"), '.png"],"offers":{"price":"', price, '","highPrice":"9,999","availability":"http://schema.org/', stock, '"},"aggregateRating":{"ratingValue":4.4,"reviewCount":', size, "}}]}</script>")
+    og = say('<meta property="og:type" content="product"><meta property="og:title" content="', c("p_name"), '"><meta property="product:price:amount" content="', price, '"><meta property="og:image" content="https://img.test/', text_of("p_partkey"), '.png">')
+    micro = say('<div itemscope><b itemprop="name">', c("p_name"), '</b><meta itemprop="price" content="', price, '"><img itemprop="image" src="i.png"></div>')
+    css = say('<h1 class="product_title">', c("p_name"), '</h1><p class="price"><ins><span class="woocommerce-Price-amount"><bdi>TK ', price, '</bdi></span></ins></p><div class="star-rating"><span style="width: 90%"></span></div><a class="woocommerce-review-link">(', size, " reviews)</a>")
+    kind = c("p_partkey") % 4
+    html_of = say("<html><body>", F.when(kind == 0, ld).when(kind == 1, og).when(kind == 2, micro).otherwise(css), "</body></html>")
+    return table(spark, d, "part").select(c("p_partkey").alias("page_id"), say("https://shop.test/product/", text_of("p_partkey")).alias("url"), html_of.alias("html"))
+
+
+@query("""SELECT p_partkey AS page_id, p_name AS name, round(p_retailprice, 2) AS price, CASE k WHEN 0 THEN CASE WHEN round(p_retailprice, 2) < 9999 THEN 9999.0 END END AS original_price,
+CASE k WHEN 0 THEN 'https://shop.test/i/' || p_partkey || '.png' WHEN 1 THEN 'https://img.test/' || p_partkey || '.png' WHEN 2 THEN 'https://shop.test/product/i.png' END AS image_url,
+CASE k WHEN 0 THEN 4.4 WHEN 3 THEN 4.5 END::DOUBLE AS rating, CASE WHEN k IN (0, 3) THEN p_size END::DOUBLE AS review_count, k <> 0 OR p_size % 2 = 0 AS in_stock FROM (SELECT *, p_partkey % 4 AS k FROM part) WHERE round(p_retailprice, 2) >= 10""")
 def page_offers(spark, d):
-    return html.offers(fixtures.page(spark, d))
+    found = html.offers(product_pages(spark, d))
+    return found.select("page_id", "name", "price", "original_price", "image_url", "rating", F.col("review_count").cast("double").alias("review_count"), "in_stock")
 
 
-@query()
+def shop_fronts(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url, html): a front page and two category pages for each supplier."""
+    base = F.concat(F.lit("https://www.shop"), F.col("s_suppkey").cast("string"), F.lit(".test/"))
+    item = lambda k: f'<a href="/product/item-{k}">x</a>'
+    pages = [
+        ("", item(0) + '<a href="/category/a#top">a</a><a href="category/b">b</a><a href="/login/">l</a><a href="mailto:x">m</a><a href="https://other.test/product/9">o</a>'),
+        ("category/a", item(1) + item(2)),
+        ("category/b", item(2) + '<a href="/blog/x">y</a>' + item(0)),
+    ]
+    made = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.concat(base, F.lit(p)).alias("url"), F.lit(h).alias("html")) for i, (p, h) in enumerate(pages)])).alias("p")
+    return table(spark, d, "supplier").select("s_suppkey", made).select((F.col("s_suppkey") * 10 + F.col("p.n")).alias("page_id"), "p.url", "p.html")
+
+
+@query("SELECT s_suppkey * 10 + n AS page_id, 'https://www.shop' || s_suppkey || '.test/product/item-' || k AS url FROM supplier, (VALUES (0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2), (2, 0)) AS v(n, k)")
 def front_crawl(spark, d):
-    return html.crawl_front(fixtures.page(spark, d))
+    return html.crawl_front(shop_fronts(spark, d))
+
+
+def _entry(loc: str, freq: str, priority: str) -> str:
+    tags = "".join(f"    <{t}>{x}</{t}>\n" for t, x in (("loc", loc), ("lastmod", "2024-02-01"), ("changefreq", freq), ("priority", priority)))
+    return f"  <url>\n{tags}  </url>"
 
 
-@query(r"SELECT p_partkey AS pos, '<url><loc>https://shop.test/product/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') || '</loc></url>' AS line FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50000) UNION ALL SELECT * FROM (VALUES (-4, '<url><loc>https://shop.test/</loc></url>'), (-3, '<url><loc>https://shop.test/search</loc></url>'), (-2, '<url><loc>https://shop.test/shops</loc></url>'), (-1, '<url><loc>https://shop.test/about</loc></url>'))")
+@query(f"""SELECT p_partkey AS pos, replace('{_entry("https://shop.test/product/@", "daily", "0.7")}', '@', {_SLUG}) AS line FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 50000)
+UNION ALL SELECT * FROM (VALUES (-4, '{_entry("https://shop.test/", "daily", "1.0")}'), (-3, '{_entry("https://shop.test/sellers", "weekly", "0.5")}'), (-2, '{_entry("https://shop.test/compare", "monthly", "0.3")}'), (-1, '{_entry("https://shop.test/submit-shop", "monthly", "0.3")}'))
+UNION ALL SELECT * FROM (VALUES (-6, '<?xml version="1.0" encoding="UTF-8"?>'), (-5, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), (9223372036854775807, '</urlset>'))""")
 def sitemap(spark, d):
-    return files.sitemap_lines(fixtures.product(spark, d).withColumn("slug", text.slug(F.col("name"))), "https://shop.test")
+    return files.sitemap_document(fixtures.product(spark, d).withColumn("slug", text.slug(F.col("name"))), "https://shop.test/", "2024-02-01")
+
+
+@query("SELECT * FROM (VALUES (0, 'User-agent: *'), (1, 'Allow: /'), (2, 'Disallow: /admin'), (3, 'Disallow: /api/admin/'), (4, ''), (5, 'Sitemap: https://shop.test/sitemap.xml')) AS r(pos, line)")
+def robots(spark, d):
+    return files.robots(spark, "https://shop.test/")
 
 
 # -- entity resolution
 
-_COEFFICIENTS = minhash.coefficients(8)
-_SIG = ", ".join(f"min(({a} * h + {b}) % {minhash.PRIME}) AS h{i}" for i, (a, b) in enumerate(_COEFFICIENTS))
+# The generator's draws in SQL: each hash takes the low 31 bits of every second draw, first a, made odd, then b.
+_DRAWS = """lcg AS (SELECT 0 AS i, xor(12648430, 25214903917)::HUGEINT AS s UNION ALL SELECT i + 1, (s * 25214903917 + 11) % 281474976710656 FROM lcg WHERE i < 512),
+d AS (SELECT i, ((s // 65536) % 2147483648)::BIGINT AS v FROM lcg), co AS (SELECT (x.i - 2) // 4 AS k, x.v + 1 - x.v % 2 AS a, y.v AS b FROM d x JOIN d y ON y.i = x.i + 2 WHERE x.i % 4 = 2)"""
+_SIG = ", ".join(f"min(v) FILTER (k = {i}) AS h{i}" for i in range(8))
 _SHINGLE_SQL = f"""k AS (SELECT DISTINCT CASE WHEN {_KEY} = '' THEN lower(p_name) ELSE {_KEY} END AS key FROM part), f AS (SELECT key, trim(regexp_replace(lower(key), '[^a-z0-9]+', ' ', 'g')) AS s FROM k),
-sh AS (SELECT key, unnest(list_distinct(list_transform(generate_series(1, greatest(length(s) - 3, 1)), lambda i: substr(s, i, 4)))) AS g FROM f), hs AS (SELECT key, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM sh)"""
+sh AS (SELECT key, unnest(list_distinct(list_transform(generate_series(1, greatest(length(s) - 3, 1)), lambda i: substr(s, i, 4)))) AS g FROM f), hs AS (SELECT key, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM sh), sg AS (SELECT key, k, min((a * h + b) % 2147483647) AS v FROM hs, co GROUP BY 1, 2)"""
+_PAIR_SQL = """bd AS (SELECT key, k // 4 AS band, string_agg(v, ',' ORDER BY k) AS slice FROM sg GROUP BY 1, 2), pr AS (SELECT DISTINCT x.key, y.key AS other FROM bd x JOIN bd y USING (band, slice) WHERE x.key <> y.key),
+sc AS (SELECT pr.key, other, count(*) FILTER (x.v = y.v) / 128.0::DOUBLE AS score FROM pr JOIN sg x ON x.key = pr.key JOIN sg y ON y.key = other AND y.k = x.k GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_SHINGLE_SQL} SELECT key, {_SIG} FROM hs GROUP BY key")
+@query(f"WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL} SELECT key, {_SIG} FROM sg GROUP BY key")
 def minhash_signature(spark, d):
     keyed = resolve.name_shingles(fixtures.product(spark, d)).select("key", minhash.signature_sql(resolve.shingle_hashes(F.col("shingles")), 8).alias("sig"))
     return keyed.select("key", *[F.get("sig", F.lit(i)).alias(f"h{i}") for i in range(8)])
 
 
-@query(f"""WITH {_SHINGLE_SQL}, sig AS (SELECT key, {_SIG} FROM hs GROUP BY key), b AS (SELECT key, 0 AS band, [h0, h1] AS s FROM sig UNION ALL SELECT key, 1, [h2, h3] FROM sig UNION ALL SELECT key, 2, [h4, h5] FROM sig UNION ALL SELECT key, 3, [h6, h7] FROM sig)
+@query(f"""WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL}, sig AS (SELECT key, {_SIG} FROM sg GROUP BY key), b AS (SELECT key, 0 AS band, [h0, h1] AS s FROM sig UNION ALL SELECT key, 1, [h2, h3] FROM sig UNION ALL SELECT key, 2, [h4, h5] FROM sig UNION ALL SELECT key, 3, [h6, h7] FROM sig)
 SELECT DISTINCT x.key, y.key AS other FROM b x JOIN b y USING (band, s) WHERE x.key < y.key""")
 def lsh_candidates(spark, d):
     sigs = resolve.name_shingles(fixtures.product(spark, d)).select("key", minhash.signature_sql(resolve.shingle_hashes(F.col("shingles")), 8).alias("sig"))
@@ -424,28 +515,29 @@ def lsh_candidates(spark, d):
     return a.join(b, ["band", "slice"]).where("key < other").select("key", "other").distinct()
 
 
-@query()
+@query(f"WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL} SELECT key, string_agg(v, ',' ORDER BY k) AS sig FROM sg GROUP BY 1")
 def minhash_signature_full(spark, d):
-    """minhash_signature with all hashes, which SQL is too slow for."""
-    return resolve.signatures(fixtures.product(spark, d))
+    """minhash_signature with all hashes."""
+    return resolve.signatures(fixtures.product(spark, d)).select("key", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL}, {_PAIR_SQL} SELECT key, other FROM pr WHERE key < other")
 def lsh_candidates_full(spark, d):
     """lsh_candidates with all hashes and bands."""
     sigs = resolve.signatures(fixtures.product(spark, d))
     return resolve.candidates(sigs, sigs).where("key < other")
 
 
-@query()
+@query(f"WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL}, {_PAIR_SQL} SELECT key, other, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS rn FROM sc WHERE score >= 0.42) WHERE rn = 1")
 def near_dup_best(spark, d):
     sigs = resolve.signatures(fixtures.product(spark, d))
     return resolve.best_matches(sigs, sigs)
 
 
-@query()
+@query(f"WITH RECURSIVE {_DRAWS}, {_SHINGLE_SQL}, {_PAIR_SQL}, reach AS (SELECT DISTINCT key, key AS other FROM sg UNION SELECT reach.key, sc.other FROM reach JOIN sc ON sc.key = reach.other WHERE score >= 0.42) SELECT key, min(other) AS low FROM reach GROUP BY 1")
 def name_groups(spark, d):
-    return resolve.groups_by_name(fixtures.product(spark, d))
+    groups = resolve.groups_by_name(fixtures.product(spark, d))
+    return groups.join(groups.groupBy("root").agg(F.min("key").alias("low")), "root").select("key", "low")
 
 
 @query()
@@ -477,3 +569,140 @@ def upsert_and_delete(spark, d):
     base = fixtures.site_price(spark, d).select("product_id", "site_id", "price")
     changed = base.where("product_id % 7 = 0").withColumn("price", F.col("price") * 2)
     return mutations.delete(mutations.upsert(base, changed, ["product_id", "site_id"]), base.where("product_id % 7 = 1").select("product_id"))
+
+
+# -- changes of the catalog, runs and finders
+
+
+_MERGE_PAIRS = "SELECT p_partkey AS from_id, CASE p_partkey % 10 WHEN 3 THEN p_partkey - 1 WHEN 5 THEN p_partkey WHEN 7 THEN -1 END AS to_id FROM part WHERE p_partkey % 10 IN (3, 5, 7)"
+_CATALOG = "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 2 THEN p_type END AS category, CASE WHEN p_partkey % 2 = 1 THEN 'i' || p_partkey END AS image_url, NULL::VARCHAR AS description, p_retailprice AS lowest_price, p_retailprice AS highest_price FROM part"
+
+
+def _merge_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    i = F.col("id")
+    products = fixtures.product(spark, d).select(
+        "id", F.when(i % 4 != 2, F.col("category")).alias("category"), F.when(i % 2 == 1, F.concat(F.lit("i"), i.cast("string"))).alias("image_url"),
+        F.lit(None).cast("string").alias("description"), "lowest_price", F.col("lowest_price").alias("highest_price"),
+    )
+    site_prices = fixtures.site_price(spark, d).select("product_id", F.concat(F.lit("u"), (F.col("site_id") % 5).cast("string"), F.lit("-"), F.col("site_id").cast("string")).alias("product_url"), "price")
+    to = F.when(i % 10 == 3, i - 1).when(i % 10 == 5, i).when(i % 10 == 7, F.lit(-1))
+    return products, site_prices, products.where(to.isNotNull()).select(i.alias("from_id"), to.cast("long").alias("to_id"))
+
+
+@query(f"""WITH s AS ({SITE_PRICE}), c AS ({_CATALOG}), g AS (SELECT * FROM ({_MERGE_PAIRS}) WHERE to_id = from_id - 1),
+m AS (SELECT coalesce(to_id, product_id) AS id, site_id, arg_min(price, to_id IS NOT NULL) AS price FROM s LEFT JOIN g ON product_id = from_id GROUP BY 1, 2), x AS (SELECT id, min(price) AS low, max(price) AS high, count(*) AS n FROM m GROUP BY 1)
+SELECT c.id, coalesce(c.category, f.category) AS category, coalesce(c.image_url, f.image_url) AS image_url, CASE WHEN g.to_id IS NULL THEN c.lowest_price ELSE x.low END AS lowest_price, CASE WHEN g.to_id IS NULL THEN c.highest_price ELSE x.high END AS highest_price, coalesce(x.n, 0) AS sellers
+FROM c LEFT JOIN g ON g.to_id = c.id LEFT JOIN c f ON f.id = g.from_id LEFT JOIN x ON x.id = c.id WHERE c.id NOT IN (SELECT from_id FROM g)""")
+def merge_catalog(spark, d):
+    products, site_prices = mutations.merge_catalog(*_merge_inputs(spark, d))
+    sellers = site_prices.groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("sellers"))
+    return products.join(sellers, "id", "left").select("id", "category", "image_url", "lowest_price", "highest_price", F.coalesce("sellers", F.lit(0)).alias("sellers"))
+
+
+@query(f"SELECT *, CASE WHEN to_id = from_id THEN 400 WHEN to_id = -1 THEN 404 ELSE 200 END AS code FROM ({_MERGE_PAIRS})")
+def merge_codes(spark, d):
+    products, _, pairs = _merge_inputs(spark, d)
+    return mutations.merge_codes(products, pairs)
+
+
+def _upload(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products, prices and sellers, and an upload whose lines are all products: every other one is listed already."""
+    i = F.col("id")
+    url = F.concat(F.lit("https://shop.test/p/"), i.cast("string"))
+    products = fixtures.product(spark, d).select("id", "name", text.slug(F.col("name")).alias("slug"), "category", F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("description"), "lowest_price")
+    listed = products.select(i.alias("product_id"), F.lit("shop").alias("site_slug"), url.alias("product_url"), F.col("lowest_price").alias("price"), F.lit(True).alias("in_stock"))
+    cell = F.when(i % 10 == 9, F.lit("n/a")).otherwise(F.concat(F.lit("TK "), F.floor(F.col("lowest_price") * 0.9).cast("string")))
+    none = F.lit(None).cast("string")
+    cells = products.select(i.cast("int").alias("line"), "name", cell.alias("price"), none.alias("image_url"), F.when(i % 2 == 0, url).otherwise(F.concat(F.lit("https://fb.test/"), i.cast("string"))).alias("product_url"), none.alias("category"), none.alias("description"), none.alias("in_stock"))
+    sellers = spark.createDataFrame([("fb", "https://fb.test/")], "slug string, url string")
+    return mutations.inventory_load(products, listed, sellers, "fb", cells)
+
+
+_UPLOADED = "SELECT *, floor(p_retailprice * 0.9)::DOUBLE AS p FROM part WHERE p_partkey <= 500 AND p_partkey % 10 <> 9 AND floor(p_retailprice * 0.9) >= 10"
+
+
+@query(f"""WITH u AS ({_UPLOADED}) SELECT CAST(part.p_partkey AS VARCHAR) AS id, part.p_name AS name, least(part.p_retailprice, u.p) AS lowest_price FROM part LEFT JOIN u ON u.p_partkey = part.p_partkey AND u.p_partkey % 2 = 0
+UNION ALL SELECT 'new:https://fb.test/' || p_partkey, p_name, p FROM u WHERE p_partkey % 2 = 1""")
+def inventory_products(spark, d):
+    return _upload(spark, d)[0].select("id", "name", "lowest_price")
+
+
+@query(f"""WITH u AS ({_UPLOADED}) SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'shop' AS site_slug, 'https://shop.test/p/' || p_partkey AS product_url, p_retailprice AS price FROM part
+UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new:https://fb.test/' END || p_partkey, 'fb', CASE WHEN p_partkey % 2 = 0 THEN 'https://shop.test/p/' ELSE 'https://fb.test/' END || p_partkey, p FROM u""")
+def inventory_prices(spark, d):
+    return _upload(spark, d)[1].select("product_id", "site_slug", "product_url", "price")
+
+
+@query(f"WITH u AS ({_UPLOADED}) SELECT count(*) FILTER (p_partkey % 2 = 1) AS created, count(*) FILTER (p_partkey % 2 = 0) AS merged, (SELECT count(*) FROM part WHERE p_partkey <= 500) - count(*) AS skipped FROM u")
+def inventory_counts(spark, d):
+    return _upload(spark, d)[2]
+
+
+def _shops(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    status = F.when(k % 5 == 0, "blocked").when(k % 7 == 0, "paused").otherwise("active")
+    return table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("slug"), status.alias("status"), (k % 3 == 0).alias("needs_retry"))
+
+
+@query("SELECT mode, slug FROM (SELECT 's' || s_suppkey AS slug, CASE WHEN s_suppkey % 5 = 0 THEN 'blocked' WHEN s_suppkey % 7 = 0 THEN 'paused' ELSE 'active' END AS status, s_suppkey FROM supplier), (VALUES ('full'), ('retry'), ('single')) AS m(mode) WHERE CASE mode WHEN 'full' THEN status = 'active' WHEN 'retry' THEN s_suppkey % 3 = 0 AND status <> 'blocked' ELSE slug = 's4' END")
+def index_runs(spark, d):
+    runs = [lifecycle.run_shops(_shops(spark, d), mode, "s4").select(F.lit(mode).alias("mode"), "slug") for mode in lifecycle.MODES]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+_OUTCOME = "SELECT o_orderkey % 7 AS urls, o_orderkey % 3 AS inserted, o_orderkey % 2 AS merged, o_orderstatus = 'F' AS failed FROM orders"
+
+
+@query(f"SELECT 'full' AS mode, count(*) AS shops_attempted, count(*) FILTER (NOT failed) AS shops_succeeded, count(*) FILTER (failed) AS shops_failed, CAST(sum(urls) AS BIGINT) AS urls, CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(merged) AS BIGINT) AS merged, 5400 AS seconds FROM ({_OUTCOME})")
+def run_record(spark, d):
+    k = F.col("o_orderkey")
+    outcomes = table(spark, d, "orders").select((k % 7).alias("urls"), (k % 3).alias("inserted"), (k % 2).alias("merged"), F.when(F.col("o_orderstatus") == "F", "timeout").alias("error"))
+    return lifecycle.run_record(outcomes, "full", "2024-01-01 03:00:00", "2024-01-01 04:30:00")
+
+
+@query("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 = 0 THEN '(full reindex)' ELSE 'q' || o_custkey END AS query, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'RUNNING' ELSE 'PENDING' END ELSE 'COMPLETED' END AS status,
+o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at, CASE WHEN o_orderstatus = 'F' THEN 'timeout' END AS error FROM orders""")
+def job_states(spark, d):
+    o = table(spark, d, "orders")
+    state, k = F.col("o_orderstatus"), F.col("o_orderkey")
+    at = lambda hours: F.col("o_orderdate") + F.expr(f"interval {hours} minutes")
+    none, query_ = F.lit(None).cast("string"), F.when(k % 5 != 0, F.concat(F.lit("q"), F.col("o_custkey").cast("string")))
+    step = lambda name, minutes, error=none: F.struct(F.lit(name).alias("step"), at(minutes).alias("at"), error.alias("error"))
+    taken = F.array(
+        step("ask", 0), F.when((state != "O") | (k % 2 == 0), step("start", 5)),
+        F.when(state == "F", step("fail", 60, F.lit("timeout"))), F.when(state == "P", step("finish", 60)), F.when(state == "F", step("finish", 90)),
+    )
+    steps = o.select(k.alias("job_id"), query_.alias("query"), F.explode(F.array_compact(taken)).alias("s")).select("job_id", "query", "s.step", "s.at", "s.error")
+    return lifecycle.job_states(steps)
+
+
+@query("""SELECT * FROM (VALUES ('index', TIMESTAMP '2024-01-30 02:59:00', TIMESTAMP '2024-01-30 03:00:00', true), ('retry', TIMESTAMP '2024-01-31 04:00:00', TIMESTAMP '2024-02-01 04:00:00', false), ('snapshot', NULL, NULL, true),
+('hot_drops', TIMESTAMP '2024-01-30 23:00:00', TIMESTAMP '2024-01-31 05:00:00', false), ('canary', TIMESTAMP '2024-01-31 04:14:59', TIMESTAMP '2024-01-31 04:15:00', true)) AS t(task, last_at, next_at, due)""")
+def due_tasks(spark, d):
+    last = spark.createDataFrame([("index", "2024-01-30 02:59:00"), ("retry", "2024-01-31 04:00:00"), ("snapshot", None), ("hot_drops", "2024-01-30 23:00:00"), ("canary", "2024-01-31 04:14:59")], "task string, at string")
+    return lifecycle.due(last.select("task", F.col("at").cast("timestamp_ntz").alias("last_at")), "2024-01-31 04:20:00")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def customers_by_segment(spark, d):
+    return lookups.find_by(table(spark, d, "customer"), "c_mktsegment", "BUILDING").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
+def pending_count(spark, d):
+    return lookups.count_by(table(spark, d, "orders"), "o_orderstatus", "P")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 17 AND l_linestatus = 'O'")
+def product_reviews(spark, d):
+    return lookups.children(table(spark, d, "lineitem"), l_partkey=17, l_linestatus="O").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey AS user_id, trim(q) AS query, CASE WHEN c_custkey IS NULL THEN 401 WHEN length(trim(q)) < 2 THEN 400 ELSE 200 END AS code FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ' x ' WHEN 1 THEN ' tv set ' ELSE 'ac' END AS q FROM customer)")
+def saved_searches(spark, d):
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k.alias("user_id"), F.when(k % 3 == 0, " x ").when(k % 3 == 1, " tv set ").otherwise("ac").alias("query"))
+    return mutations.add_saved_searches(rows)
+
+
+from cataloom.plans import library  # noqa: E402, F401  registers its queries here

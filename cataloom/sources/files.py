@@ -20,11 +20,19 @@ def shop_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("requiresJs", F.coalesce("requiresJs", F.lit(False)))
 
 
+#: Size of a seller's upload.
+MOST_BYTES = 1_000_000
+
+
 def inventory(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
     """(line, name, price, image_url, product_url, category, description, in_stock) of a seller's CSV, first most lines.
 
-    Header in any case; name and price are required; "" stands for a quote in a quoted cell. Missing columns are null.
+    Header in any case; name and price are required; "" stands for a quote in a quoted cell, and a cell ends with its line.
+    Missing columns are null. A file is 1 MB at most (ValueError beyond that), so it is one split and its lines keep their order.
     """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() > MOST_BYTES:
+        raise ValueError("an inventory has 1 MB at most")
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     names = {c.strip().lower(): c for c in raw.columns}
     if not {"name", "price"} <= set(names):
@@ -73,12 +81,20 @@ def crawl_sitemap(url: str, fetch: Callable[[str], bytes | str | None], spark: S
     return rows.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos").limit(most).select("pos", "url")
 
 
-def sitemap_lines(products: DataFrame, base: str, most: int = 50_000) -> DataFrame:
-    """(pos, line): <url> entries of four fixed pages and of at most so many products, by slug or else id, escaped."""
+# Pages of every sitemap with how often they change and their priority; what holds for products.
+FIXED_PAGES = [("/", "daily", "1.0"), ("/sellers", "weekly", "0.5"), ("/compare", "monthly", "0.3"), ("/submit-shop", "monthly", "0.3")]
+PRODUCT_PAGE = ("daily", "0.7")
+
+
+def sitemap_lines(products: DataFrame, base: str, day: str, most: int = 50_000) -> DataFrame:
+    """(pos, line): <url> entries, of five indented lines each, of the fixed pages and of the first most products by id, by slug or else id, escaped."""
     key = F.coalesce(F.nullif(F.trim("slug"), F.lit("")), F.col("id").cast("string"))
-    chosen = products.select(F.col("id").cast("long").alias("pos"), F.concat(F.lit(f"{base}/product/"), key).alias("loc")).orderBy("pos").limit(most)
-    fixed = products.sparkSession.createDataFrame([(i - 4, base + p) for i, p in enumerate(("/", "/search", "/shops", "/about"))], "pos long, loc string")
-    return fixed.unionByName(chosen).select("pos", F.concat(F.lit("<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc></url>")).alias("line"))
+    row = lambda freq, priority: [F.lit(freq).alias("freq"), F.lit(priority).alias("priority")]
+    chosen = products.select(F.col("id").cast("long").alias("pos"), F.concat(F.lit(f"{base}/product/"), key).alias("loc"), *row(*PRODUCT_PAGE)).orderBy("pos").limit(most)
+    fixed = products.sparkSession.createDataFrame([(i - len(FIXED_PAGES), base + p, f, w) for i, (p, f, w) in enumerate(FIXED_PAGES)], "pos long, loc string, freq string, priority string")
+    tag = lambda name, x: F.concat(F.lit(f"    <{name}>"), x, F.lit(f"</{name}>\n"))
+    entry = F.concat(F.lit("  <url>\n"), tag("loc", xml_escape(F.col("loc"))), tag("lastmod", F.lit(day)), tag("changefreq", F.col("freq")), tag("priority", F.col("priority")), F.lit("  </url>"))
+    return fixed.unionByName(chosen).select("pos", entry.alias("line"))
 
 
 def append_by_day(rows: DataFrame, path: str, instant: str) -> None:
@@ -86,6 +102,18 @@ def append_by_day(rows: DataFrame, path: str, instant: str) -> None:
     rows.withColumn("day", F.to_date(instant)).repartition("day").write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_sitemap(products: DataFrame, base: str, path: str) -> None:
+def sitemap_document(products: DataFrame, base: str, day: str) -> DataFrame:
+    """(pos, line): sitemap_lines() between the XML head, the opened urlset and its end."""
+    frame = [(-6, '<?xml version="1.0" encoding="UTF-8"?>'), (-5, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), ((1 << 63) - 1, "</urlset>")]
+    return products.sparkSession.createDataFrame(frame, "pos long, line string").unionByName(sitemap_lines(products, base.rstrip("/"), day))
+
+
+def robots(spark: SparkSession, base: str) -> DataFrame:
+    """(pos, line) of robots.txt: everything is open but the admin's paths, and where the sitemap is."""
+    lines = ["User-agent: *", "Allow: /", "Disallow: /admin", "Disallow: /api/admin/", "", f"Sitemap: {base.rstrip('/')}/sitemap.xml"]
+    return spark.createDataFrame(list(enumerate(lines)), "pos int, line string")
+
+
+def write_sitemap(products: DataFrame, base: str, day: str, path: str) -> None:
     """The sitemap as text files; a map has 50,000 entries at most, so one sorted task writes it."""
-    sitemap_lines(products, base).orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(path)
+    sitemap_document(products, base, day).orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(path)

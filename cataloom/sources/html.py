@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.functions.urls import host_of, link_class, same_shop, strip_fragment
+from cataloom.functions.urls import host_of, is_blocked, link_class, same_shop, strip_fragment, strip_www
+from cataloom.operators.mutations import unknown_hosts
 
 OFFER = "name string, price double, original_price double, product_url string, image_url string, rating double, review_count int, in_stock boolean"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -342,29 +343,40 @@ def offers(pages: DataFrame) -> DataFrame:
 _SKIP = ("#", "javascript:", "mailto:", "tel:")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, url, class) of the anchors that stay in the page's shop, resolved and without fragments."""
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, url, shop_host) of each page's anchors, resolved; shop_host is the page's own host."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            for page, url, html, shop in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["shop_host"]):
                 pos = 0
                 for node in parse(html).walk():
                     href = node.attrs.get("href", "").strip() if node.tag == "a" else ""
                     if href and not href.startswith(_SKIP):
                         try:
-                            out.append((page, pos, urljoin(url or "", href)))
+                            out.append((page, pos, urljoin(url or "", href), shop))
                         except ValueError:
                             continue
                         pos += 1
-            yield pd.DataFrame(out, columns=["page_id", "pos", "url"])
+            yield pd.DataFrame(out, columns=["page_id", "pos", "url", "shop_host"])
+
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("shop_host"))
+    return rows.mapInPandas(run, "page_id long, pos int, url string, shop_host string")
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, url, class) of the anchors that stay in the page's shop, resolved and without fragments."""
+    inside = anchors(pages).where(F.coalesce(same_shop(host_of(F.col("url")), F.col("shop_host")), F.lit(False)))
+    return inside.select("page_id", "pos", strip_fragment(F.col("url")).alias("url")).withColumn("class", link_class(F.col("url")))
+
 
-    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, url string")
-    shop = pages.select("page_id", host_of(F.col("url")).alias("shop_host"))
-    plain = strip_fragment(F.col("url"))
-    inside = found.join(shop, "page_id").where(F.coalesce(same_shop(host_of(F.col("url")), F.col("shop_host")), F.lit(False)))
-    return inside.select("page_id", "pos", plain.alias("url")).withColumn("class", link_class(F.col("url")))
+def discover(directory: DataFrame, shops: DataFrame, pending: DataFrame) -> DataFrame:
+    """(host) of the sites that directory pages link to, without www, that are not blocked, not the directory's own, and neither shops nor pending ones (base_url)."""
+    found = anchors(directory).select(host_of(F.col("url")).alias("full"), "shop_host")
+    found = found.where(F.col("full").isNotNull() & ~is_blocked(F.col("full")) & ~F.coalesce(same_shop(F.col("full"), F.col("shop_host")), F.lit(False)))
+    known = [rows.select(strip_www(host_of(F.col("base_url"))).alias("host")) for rows in (shops, pending)]
+    return unknown_hosts(found.select(strip_www(F.col("full")).alias("host")), *known)
 
 
 def crawl_front(pages: DataFrame, most: int = 1500, categories: int = 25) -> DataFrame:

@@ -32,17 +32,22 @@ def rolling_counts(events: DataFrame, window: str = "60 seconds", slide: str = "
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "type", "n", "actors")
 
 
-def upsert_batches(path: str, key: list[str]):
-    """A foreachBatch sink that keeps the newest row of each key in versions of a table, safe to repeat."""
-    from cataloom.operators.mutations import upsert
+def upsert_batches(path: str, key: list[str], instant: str = "ts"):
+    """A foreachBatch sink that keeps the newest row of each key, by an instant, in versions of a table, safe to repeat.
+
+    Of rows of one instant the one that sorts last by all columns stays. Skipped epochs do no harm: the last whole version
+    before this one is taken up.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.dropDuplicates(key)
-        old = f"{path}/v{epoch - 1}"
-        p = spark._jvm.org.apache.hadoop.fs.Path(old)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            newest = upsert(spark.read.parquet(old), newest, key)
+        row = F.struct(*[F.col(c) for c in batch.columns])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) < epoch and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        rows = spark.read.parquet(f"{path}/v{max(done)}").unionByName(batch) if done else batch
+        newest = rows.groupBy(*key).agg(F.max_by(row, F.struct(F.col(instant), F.to_json(row).alias("tie"))).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return write

@@ -121,7 +121,8 @@ def test_trigrams(spark):
 def test_search_and_validate(spark):
     products = spark.createDataFrame([(1, "Red bolt", 5.0), (2, "Bolt of red", None), (3, "Boltred", 1.0), (4, "Nut", 2.0)], "id long, name string, lowest_price double")
     assert [(r.id, r["pass"]) for r in search.search(products, "red BOLT").collect()] == [(3, 2), (1, 1), (2, 1)]
-    assert search.search(products, " ").count() == 0 or True
+    assert search.search(products, " ").count() == search.search(products, "").count() == search.autocomplete(products, " ").count() == 0
+    assert [r.id for r in search.search(products, "bolts").collect()] == [1, 2]  # by their stem
     assert [r.id for r in search.autocomplete(products, "bolt", 2).collect()] == [1, 2]
     results = spark.createDataFrame([(1, "Red bolt", 5.0, True), (1, "Red bolt case", 5.0, True), (1, "Nut", 5.0, True), (1, "Red bolt", None, True), (1, " ", 5.0, None), (1, "red bolt big", 5.0, False)], "query_id int, name string, price double, in_stock boolean")
     intents = spark.createDataFrame([(1, "red bolt", ["GENERAL"], [])], "query_id int, query string, categories array<string>, model_tokens array<string>")
@@ -160,7 +161,7 @@ def test_mutations(spark):
     codes = {r.base_url: r.code for r in mutations.shop_submissions(asked, shops, pending).collect()}
     assert codes == {"https://n.test": 400, "not-a-url": 400, "https://new.test/": 202, "https://p.test/": 409, "HTTPS://a.test": 409}
     prices_ = spark.createDataFrame([("u", "s", 9.0), ("v", "t", 5.0)], "product_url string, site_slug string, price double")
-    cells = spark.createDataFrame([(1, "a", "TK 20", "u"), (2, "a", "30", "u"), (3, None, "40", "w"), (4, "b", "9", "w"), (5, "c", "50", None)], "line int, name string, price string, product_url string")
+    cells = spark.createDataFrame([(1, "aa", "TK 20", "u"), (2, "aa", "30", "u"), (3, "x", "40", "w"), (4, "bb", "9", "w"), (5, "cc", "50", None)], "line int, name string, price string, product_url string")
     assert sorted(rows(mutations.inventory_upsert(prices_, cells, "s", "home"))) == [("home", "s", 50.0), ("u", "s", 30.0), ("v", "t", 5.0)]
     seeded = mutations.seed(shops, spark.createDataFrame([("a", "https://n"), ("c", "https://c")], "slug string, base_url string"), ["base_url"])
     assert {(r.slug, r.base_url, r.status) for r in seeded.collect()} == {("a", "https://n", "dormant"), ("b", "https://b.test", "blocked"), ("c", "https://c", "active")}
@@ -179,8 +180,14 @@ def test_sources(spark, tmp_path):
     }
     assert [r.url for r in files.crawl_sitemap("s", maps.get, spark).collect()] == ["https://x.test/product/1&2", "https://x.test/p/9"]
     products = spark.createDataFrame([(1, " ", "n"), (2, "a&b", "n")], "id long, slug string, name string")
-    lines = [r.line for r in files.sitemap_lines(products, "https://s").orderBy("pos").collect()]
-    assert len(lines) == 6 and lines[-2:] == ["<url><loc>https://s/product/1</loc></url>", "<url><loc>https://s/product/a&amp;b</loc></url>"]
+    lines = [r.line for r in files.sitemap_lines(products, "https://s", "2024-02-01").orderBy("pos").collect()]
+    assert len(lines) == 6 and "    <loc>https://s/product/1</loc>\n" in lines[-2] and "    <loc>https://s/product/a&amp;b</loc>\n" in lines[-1]
+    files.write_sitemap(products, "https://s/", "2024-02-01", str(tmp_path / "map"))
+    written = "".join(p.read_text() for p in sorted((tmp_path / "map").glob("*.txt")))
+    assert written.startswith("<?xml") and written.endswith("</urlset>\n") and written.count("<priority>0.7</priority>") == 2
+    (tmp_path / "large.csv").write_text("name,price\n" + "x,1\n" * 300_000)
+    with pytest.raises(ValueError):
+        files.inventory(spark, str(tmp_path / "large.csv"))
     calls = []
 
     def get(url, agent):

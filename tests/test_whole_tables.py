@@ -24,7 +24,7 @@ def test_every_product_is_resolved(spark, sf):
 def test_full_signatures_and_candidates(spark, sf):
     names = resolve.name_shingles(fixtures.product(spark, sf)).select("key", resolve.shingle_hashes(F.col("shingles")).alias("h")).collect()
     sigs = {r.key: tuple(min(((a * h + b) % minhash.PRIME for h in r.h), default=minhash.PRIME) for a, b in minhash.coefficients(128)) for r in names}
-    assert {r.key: tuple(r.sig) for r in driver.queries()["minhash_signature_full"](spark, sf).collect()} == sigs
+    assert {r.key: tuple(map(int, r.sig.split(","))) for r in driver.queries()["minhash_signature_full"](spark, sf).collect()} == sigs
     alike = lambda x, y: any(x[i : i + 4] == y[i : i + 4] for i in range(0, 128, 4))
     want = sorted((a, b) for a in sigs for b in sigs if a < b and alike(sigs[a], sigs[b]))
     found = sorted(map(tuple, driver.queries()["lsh_candidates_full"](spark, sf).collect()))

@@ -7,7 +7,8 @@ index key exactly; equal keys are joined and the whole distance is verified.
 A bucket of k fingerprints never gives its k squared pairs. First each member is compared with the bucket's smallest;
 these verified links are contracted. Only members of buckets that still hold two components are compared further, and
 only across components, which cannot miss a link that matters: any linked pair shares a bucket, and either it is joined
-already or it is compared.
+already or it is compared. There the other halves' bytes are the finer key: halves that differ in at most three bits share at
+least one of their four bytes.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of, materialize, words
+from cataloom.llm.common import batches_of, materialize, small_side
 from cataloom.operators.graph import connected_components
 
 BITS, SEGMENT_BITS, MAX_DISTANCE, SHINGLE_WORDS, SEED = 64, 32, 3, 3, 42
 _STEP = 1 << 15
+#: Fingerprints whose variants one task makes.
+FINGERPRINTS_PER_TASK = 20_000
+#: Ids that are broadcast (some 20 MB).
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -64,6 +69,12 @@ def deletion_variants(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(keys).alias("key"), "fp")
 
 
+def _bytes_of_other_half():
+    """The four bytes of the half that a key (key, fp) was not made of, as an array."""
+    other = F.when(F.col("key") < (1 << 37), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    return F.array(*[F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) for k in range(4)])
+
+
 def links(a, b):
     """Whether two fingerprints differ in at most MAX_DISTANCE bits, as a column."""
     return F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE
@@ -72,6 +83,9 @@ def links(a, b):
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp, component): component is the smallest fp reachable over links, for each distinct fp."""
     distinct = materialize(fps.select("fp").distinct(), "fps")
+    # 64 rows come of each, so the few files of fingerprints are dealt to as many tasks as that needs
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // FINGERPRINTS_PER_TASK))
+    distinct = distinct.repartition(parts, "fp")
     variants = deletion_variants(distinct)
     shared = variants.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(variants.join(shared, "key"), "buckets")
@@ -82,8 +96,9 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     )
     mixed = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     rest = materialize(member.join(mixed, "key", "left_semi"), "mixed")
-    other = rest.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    across = rest.join(other, (rest["key"] == other["key"]) & (F.col("root") < F.col("root2")) & links(F.col("fp"), F.col("fp2")))
+    finer = rest.select("key", "fp", "root", F.posexplode(_bytes_of_other_half()).alias("place", "byte"))
+    other = finer.select("key", "place", "byte", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    across = finer.join(other, ["key", "place", "byte"]).where((F.col("root") < F.col("root2")) & links(F.col("fp"), F.col("fp2")))
     second = connected_components(across.select(F.col("root").alias("src"), F.col("root2").alias("dst")))
     labelled = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     top = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -106,6 +121,13 @@ def near_duplicates(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; rows of one id stay or go together, rows without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(materialize(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of docs whose id is their component's smallest, with docs' own columns, whatever their names.
+
+    Rows of one id stay or go together, rows without an id stay. Null texts are empty ones. Ids to be dropped are broadcast
+    if they are few; else the join shuffles the texts.
+    """
+    names = docs.columns
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kept = inner.join(small_side(materialize(gone, "gone"), BROADCAST_IDS), F.col(f"c{names.index(id_col)}") == F.col("gone"), "left_anti")
+    return kept.toDF(*names)

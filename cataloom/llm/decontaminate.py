@@ -2,11 +2,14 @@
 
 An item that occurs in a text with at most k edits holds one of its k + 1 pieces unchanged. Pieces of all items are
 found in one pass of an Aho-Corasick automaton, and the neighbourhood of each hit is searched for the whole item with
-Myers' bit-parallel distance, so every occurrence within the budget is found and nothing else is reported. Short items are found unchanged, where no letter or digit goes on at either end.
+Myers' bit-parallel distance, so every occurrence within the budget is found and nothing else is reported. The budget is a
+share of the item's length, with no least or greatest length; items so short that it is zero are found unchanged, where no
+letter or digit goes on at either end.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,17 +25,14 @@ from cataloom.llm.common import batches_of, materialize
 
 @dataclass(frozen=True)
 class EditBudget:
-    """How many edits an item may have: a share of its length, but never so many that pieces get shorter than piece_chars."""
+    """How many edits an item may have: a share of its length, rounded down."""
 
     error_rate: float = 0.08
-    piece_chars: int = 11
-    #: Shorter items may have no edits and are found as whole words only.
-    min_chars: int = 24
     #: Items are sent to the executors in blocks of at most so many code points, one pass over the documents for each.
     block_chars: int = 4_000_000
 
     def edits(self, length: int) -> int:
-        return 0 if length < self.min_chars else max(0, min(int(length * self.error_rate), length // self.piece_chars - 1))
+        return min(int(length * self.error_rate), max(0, length - 1))
 
 
 def normalised(text: str | None) -> str:
@@ -80,7 +80,6 @@ class ItemMatcher:
     """The automaton of a block of items [(item_id, normalised text)]."""
 
     def __init__(self, items: list[tuple[object, str]], budget: EditBudget):
-        self.min_chars = budget.min_chars
         self.items = [(item, text, budget.edits(len(text))) for item, text in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, k) in enumerate(self.items):
@@ -100,7 +99,7 @@ class ItemMatcher:
                 starts.setdefault(i, set()).add(end + 1 - offset)
         for i, found in starts.items():
             item, pattern, k = self.items[i]
-            if len(pattern) < self.min_chars:
+            if not k:
                 ends = [s + len(pattern) for s in found if _stands_alone(text, s, s + len(pattern))]
                 if ends:
                     yield item, 0, min(ends), k
@@ -125,6 +124,19 @@ class ItemMatcher:
                 yield item, best[0], best[1], k
 
 
+#: The automaton that this worker used last, by its broadcast.
+_LAST: dict[tuple[str, EditBudget], ItemMatcher] = {}
+
+
+def _matcher(sent, budget: EditBudget) -> ItemMatcher:
+    """A broadcast block's automaton, built once in each worker."""
+    name, block = sent.value
+    if (name, budget) not in _LAST:
+        _LAST.clear()
+        _LAST[name, budget] = ItemMatcher(block, budget)
+    return _LAST[name, budget]
+
+
 def blocks(items: DataFrame, budget: EditBudget, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items, read one by one and dealt into blocks of bounded size."""
     block: list[tuple[object, str]] = []
@@ -147,7 +159,7 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: EditBudget = EditBud
 
     distance is the least number of edits between the normalised item and a part of the normalised text, end where that
     part ends. Clean documents have no row. Null and empty texts hold nothing; null and empty items are not
-    searched, short ones without edits. Repeated document rows repeat their rows. Empty tables give no rows. Items in any number are searched, block
+    searched. Repeated document rows repeat their rows. Empty tables give no rows. Items in any number are searched, block
     after block; what is broadcast is bounded by block_chars.
     """
     spark = docs.sparkSession
@@ -158,10 +170,10 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: EditBudget = EditBud
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     found = None
     for block in blocks(items, budget, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def search(batches, sent=sent):
-            matcher = ItemMatcher(sent.value, budget)
+            matcher = _matcher(sent, budget)
             for batch in batches:
                 ids, rows = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -188,10 +200,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, budget: EditBudget = Ed
     kept = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index(text_col)
     for block in blocks(items, budget, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def clean(batches, sent=sent):
-            matcher = ItemMatcher(sent.value, budget)
+            matcher = _matcher(sent, budget)
             for batch in batches:
                 yield batch.filter(pa.array([next(matcher.matches(normalised(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 

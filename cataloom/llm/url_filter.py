@@ -7,31 +7,25 @@ size is bounded by a parameter; the fitted weights are a constant of the scoring
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import lower_ascii
+from cataloom.llm.common import lower_ascii, materialize
 
 #: Rules of the query: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The small labelled table that the query trains on: hosts and paths of sites that a corpus wants (0) and does not (1).
-_GOOD_HOSTS = ["news.example.org", "www.library.example.edu", "blog.science.example.com", "docs.tools.example.org", "museum.example.org", "wiki.example.org", "www.city.example.gov", "journal.example.com"]
-_GOOD_PATHS = ["/en/2041/history-of-bridges", "/articles/how-rivers-form.html", "/de/wissen/30412", "/fr/culture/musee-ouvert"]
-_BAD_HOSTS = ["casino-bonus.example.com", "xxx-cams.example.net", "free-pills.example.biz", "www.win-cash-now.example.info", "adult-video.example.com", "cheap-replica-shop.example.net", "torrent-crack.example.org", "hot-dating.example.net"]
-_BAD_PATHS = ["/win/jackpot?aff=99", "/porn/free-sex-video", "/buy-viagra-cheap-online", "/download/keygen-crack.exe"]
-
-
 @dataclass(frozen=True)
 class Ngrams:
     """Hashed features and how they are fitted."""
 
     size: int = 3
-    slots: int = 1024
-    epochs: int = 40
-    rate: float = 4.0
-    shrink: float = 1e-4
+    slots: int = 2048
+    epochs: int = 120
+    rate: float = 30.0
+    shrink: float = 2e-4
     #: Labelled rows beyond this many are not trained on, those of the smallest hash are kept: training runs in one task.
     most_rows: int = 2048
 
@@ -54,33 +48,46 @@ def slots(host_col: Column, path_col: Column, grams: Ngrams) -> Column:
 
 
 def _margin(found: Column, weights: Column, bias: Column) -> Column:
-    """Bias plus the mean weight of the slots that a URL has."""
+    """Bias plus the weights of the slots that a URL has, over the root of their number."""
     total = F.aggregate(found, F.lit(0.0), lambda a, s: a + F.get(weights, s))
-    return bias + total / F.greatest(F.size(found), F.lit(1))
+    return bias + total / F.sqrt(F.greatest(F.size(found), F.lit(1)))
 
 
 def train(labelled: DataFrame, grams: Ngrams = Ngrams()) -> tuple[list[float], float]:
     """Weights of the slots and a bias, from (url, label 0 or 1); null labels are left out, null URLs are empty.
 
-    Gradient steps run over the rows in the order of their hash, so reruns agree. Without rows all weights are zero.
+    Gradient descent over all rows at once, in one row of arrays: each row's slots and, for each slot, the rows that have it, so a
+    step costs as much as there are n-grams. Sums run in the order of the rows' hashes, so reruns agree. Without rows all
+    weights are zero.
     """
     rows = labelled.where("label is not null").select(F.xxhash64("url", "label").alias("h"), slots(host(F.col("url")), path(F.col("url")), grams).alias("s"), F.col("label").cast("double").alias("y"))
-    n = F.greatest(F.size("s"), F.lit(1))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(grams.slots - 1)), lambda i: F.size(F.filter("s", lambda t: t == i)) / n)
-    kept = rows.orderBy("h").limit(grams.most_rows).select("h", F.concat(dense, F.array(F.lit(_BIAS))).alias("x"), "y")
-    examples = F.array_sort(F.collect_list(F.struct("h", "x", "y")))
+    kept = materialize(rows.orderBy("h").limit(grams.most_rows), "labelled")
+    one = F.lit(1).alias("one")
+    row = F.struct("h", "s", "y", (1 / F.sqrt(F.greatest(F.size("s"), F.lit(1)))).alias("c"))
+    listed = materialize(kept.agg(F.array_sort(F.collect_list(row)).alias("xs")).select(one, "xs"), "rows")
+    held = listed.select(F.posexplode("xs").alias("i", "x")).select("i", F.explode("x.s").alias("slot")).groupBy("slot").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    by_slot = held.agg(F.map_from_entries(F.collect_list(F.struct("slot", "at"))).alias("m")).select(one, "m")
+    every = F.transform(F.sequence(F.lit(0), F.lit(grams.slots - 1)), lambda j: F.coalesce(F.col("m")[j], F.array().cast("array<int>")))
+    frame = materialize(listed.join(by_slot, "one").select("xs", every.alias("cols")), "examples")
+    n = F.greatest(F.size("xs"), F.lit(1))
+
+    def step(w: Column, _: Column) -> Column:
+        bias = F.get(w, F.lit(grams.slots))
+        errors = F.transform("xs", lambda x: x["y"] - 1 / (1 + F.exp(-_margin(x["s"], w, bias))))
+
+        def move(e: Column) -> Column:
+            pull = lambda at: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(e, i) * F.get(F.col("xs"), i)["c"])
+            moved = F.zip_with(F.slice(w, 1, grams.slots), F.col("cols"), lambda v, at: v * (1 - grams.shrink) + grams.rate * pull(at) / n)
+            return F.concat(moved, F.array(bias + _BIAS * grams.rate * F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / n))
 
-    def step(weights: Column, e: Column) -> Column:
-        margin = F.aggregate(F.zip_with(weights, e["x"], lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v)
-        return _let(grams.rate * (e["y"] - 1 / (1 + F.exp(-margin))), lambda gain: F.zip_with(weights, e["x"], lambda w, x: w * (1 - grams.shrink) + gain * x))
+        return _let(errors, move)
 
-    again = F.flatten(F.array_repeat(F.col("xs"), grams.epochs))
-    fitted = kept.agg(examples.alias("xs")).select(F.aggregate(again, F.array_repeat(F.lit(0.0), grams.slots + 1), step).alias("w")).first()["w"]
-    return list(fitted[:-1]), fitted[-1] * _BIAS
+    fitted = frame.select(F.aggregate(F.sequence(F.lit(1), F.lit(grams.epochs)), F.array_repeat(F.lit(0.0), grams.slots + 1), step).alias("w")).first()["w"]
+    return list(fitted[:-1]), fitted[-1]
 
 
-#: What stands for the bias in a row's features; small, as it is the same in all rows.
-_BIAS = 0.3
+#: How fast the bias learns beside the weights.
+_BIAS = 0.1
 
 
 def _let(value: Column, body) -> Column:
@@ -89,10 +96,9 @@ def _let(value: Column, body) -> Column:
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, label)."""
-    good = [(f"https://{h}{p}", 0) for h in _GOOD_HOSTS for p in _GOOD_PATHS]
-    bad = [(f"http://{h}{p}", 1) for h in _BAD_HOSTS for p in _BAD_PATHS]
-    return spark.createDataFrame(good + bad, "url string, label int")
+    """The labelled table (url, label) of seed_urls.txt."""
+    lines = (Path(__file__).parent / "seed_urls.txt").read_text(encoding="utf-8").splitlines()
+    return spark.createDataFrame([(line[2:], int(line[0])) for line in lines if line and not line.startswith("#")], "url string, label int")
 
 
 def judge(urls: DataFrame, model: tuple[list[float], float], rules: list[tuple[str, str, str]] = RULES, grams: Ngrams = Ngrams(), *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

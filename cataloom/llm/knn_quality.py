@@ -1,94 +1,64 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A bounded sample of labelled documents is turned into tf-idf vectors of hashed words and of a few terms for the text's
-shape; a truncated singular value decomposition gives the latent space. The sample's vectors and labels are broadcast.
-Every document is projected into the space and compared with all of them, block by block, exactly; the nearest vote
-with their similarity as weight.
+A bounded sample of labelled documents is turned into tf-idf vectors of hashed terms: words, the forms of words (how capitals,
+letters, digits and signs follow each other in them) and repeats of a word by itself. A truncated singular value
+decomposition gives the latent space. The sample's vectors and labels are broadcast. Every document is projected into the space and
+compared with all of them, block by block, exactly; the nearest vote with their similarity as weight.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of
+from cataloom.llm.common import batches_of, split_words
 
 
 @dataclass(frozen=True)
 class KnnParams:
     #: Labelled documents that the space is fitted to and that vote: those of the smallest hash. Bounds what is broadcast
-    #: (sample * rank + slots * rank floats, 3 MB) and what the driver holds (sample * slots floats, 32 MB).
+    #: (sample * rank + slots * rank floats, 3 MB) and what the driver holds (sample * slots floats, 16 MB).
     sample: int = 2048
+    #: Slots that terms are hashed into, and how many of them, the last ones, are for forms of words and repeats.
     slots: int = 2048
+    form_slots: int = 512
     rank: int = 64
     neighbours: int = 15
     #: Votes weigh similarity to this power.
     sharpness: int = 4
-    #: How often a term for the text's shape counts.
-    shape_weight: float = 12.0
     threshold: float = 0.3
     seed: int = 7
 
 
-#: Slots of the shape terms, the last of the slots.
-_SHAPES, _STEPS = 8, 12
-
-
-def _shape(found: list[bytes], text: str) -> list[int]:
-    """Steps 0 to _STEPS - 1 of eight measures of a text: size, variety, repeated neighbours, the commonest word, symbols, digits, word length, line repetition."""
-    n = max(1, len(found))
-    counts: dict[bytes, int] = {}
-    for w in found:
-        counts[w] = counts.get(w, 0) + 1
-    chars = max(1, len(text))
-    symbols = sum(map(text.count, "#*$%&|<>{}[]=_~^@"))
-    digits = sum(map(text.count, "0123456789"))
-    lines = [x for x in text.split("\n") if x.strip()]
-    step = lambda x: min(_STEPS - 1, max(0, int(x)))
-    return [
-        step(math.log2(n)),
-        step((_STEPS - 1) * len(counts) / n),
-        step((_STEPS - 1) * sum(map(bytes.__eq__, found[1:], found)) / n),
-        step((_STEPS - 1) * max(counts.values(), default=0) / n),
-        step(60 * symbols / chars),
-        step(60 * digits / chars),
-        step(sum(map(len, found)) / n),
-        step((_STEPS - 1) * (1 - len(set(lines)) / max(1, len(lines)))),
-    ]
-
-
-class _Slots(dict):
-    """The slot of a word, remembered; forgotten all at once when there are too many."""
-
-    def __init__(self, slots: int):
-        super().__init__()
-        self.slots = slots
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = slot = zlib.crc32(word) % self.slots
-        return slot
-
-
-def features(texts: list[str | None], p: KnnParams, known: _Slots | None = None) -> np.ndarray:
+def forms(words: pa.Array) -> pa.Array:
+    """Words with runs of capitals, other letters and digits as A, a and 0; other signs as they are."""
+    for pattern, form in ((r"\p{Lu}+", "A"), (r"(?:\p{Ll}|\p{Lt}|\p{Lm}|\p{Lo}|\p{M})+", "a"), (r"\p{N}+", "0")):
+        words = pc.replace_substring_regex(words, pattern, form)
+    return words
+
+
+def _hashed(words: pa.Array, slots: int) -> np.ndarray:
+    found = words.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % slots
+
+
+def features(texts: pa.Array, p: KnnParams) -> np.ndarray:
     """A row of damped term counts for each whole text; null texts are empty ones."""
-    plain = p.slots - _SHAPES * _STEPS
-    known = known if known is not None else _Slots(plain)
-    out = np.zeros((len(texts), p.slots), np.float32)
-    for i, text in enumerate(texts):
-        found = text.encode().lower().split() if text else []
-        if found:
-            out[i, :plain] = np.log1p(np.bincount(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), minlength=plain))
-        for k, s in enumerate(_shape(found, text or "")):
-            out[i, plain + k * _STEPS + s] = p.shape_weight
-    return out
+    n, plain = len(texts), p.slots - p.form_slots
+    words, at, sizes = split_words(texts)
+    row = np.repeat(np.arange(n), sizes)
+    term = _hashed(pc.ascii_lower(words), plain)
+    kinds = pc.dictionary_encode(forms(words))
+    form = plain + _hashed(kinds.dictionary, p.form_slots - 1)[kinds.indices.to_numpy()]
+    again = np.flatnonzero((at[1:] == at[:-1]) & (row[1:] == row[:-1])) + 1
+    place = np.concatenate([row * p.slots + term[at], row * p.slots + form[at], row[again] * p.slots + p.slots - 1])
+    return np.log1p(np.bincount(place, minlength=n * p.slots).reshape(n, p.slots)).astype(np.float32)
 
 
 @dataclass
@@ -113,23 +83,24 @@ class Space:
             return np.full(len(x), 0.5)
         near = self.project(x) @ self.voters.T
         k = min(self.params.neighbours, near.shape[1])
+        blank = ~x.any(1)
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, at, 1), 1e-6).astype(np.float64) ** self.params.sharpness
-        return np.clip((weight * self.labels[at]).sum(1) / weight.sum(1), 0.0, 1.0)
+        return np.where(blank, self.labels.mean(), np.clip((weight * self.labels[at]).sum(1) / weight.sum(1), 0.0, 1.0))
 
 
-def fit(texts: list[str | None], labels: list[int], p: KnnParams) -> Space:
-    """The latent space of labelled texts, by a randomised singular value decomposition with a fixed seed."""
-    x = features(texts, p)
-    idf = (np.log((1 + len(texts)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
+def fit(x: np.ndarray, labels: list[int], p: KnnParams) -> Space:
+    """The latent space of labelled texts' features, by a randomised singular value decomposition with a fixed seed."""
+    x = x.copy()
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    rank = min(p.rank, max(1, len(texts)))
+    rank = min(p.rank, max(1, len(x)))
     probe = np.random.default_rng(p.seed).standard_normal((p.slots, rank + 8)).astype(np.float32)
-    q = np.linalg.qr(x @ probe)[0] if len(texts) else np.zeros((0, rank))
-    for _ in range(3 if len(texts) else 0):
+    q = np.linalg.qr(x @ probe)[0] if len(x) else np.zeros((0, rank))
+    for _ in range(3 if len(x) else 0):
         q = np.linalg.qr(x @ (x.T @ q))[0]
-    axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T if len(texts) else np.zeros((p.slots, 1), np.float32)
+    axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T if len(x) else np.zeros((p.slots, 1), np.float32)
     y = x @ axes
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
     return Space(p, idf, np.ascontiguousarray(axes, np.float32), np.ascontiguousarray(y, np.float32), np.array(labels, np.float64))
@@ -143,18 +114,30 @@ def is_held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, p: KnnParams = KnnParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Space:
     """Fit the space to labelled documents that are not held out, sample of them at most.
 
-    Null labels are left out; a document labelled twice takes its smallest label. The sampled ids are broadcast to find their
-    texts, so no text is moved that is not used. Only texts and labels are read.
+    Null labels are left out; a document labelled twice takes its smallest label, rows of one id give the smallest text. The
+    sampled ids are broadcast to find their texts, which are turned into features where they are: only those come to the driver.
     """
+    spark = docs.sparkSession
+    batches_of(spark)
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     chosen = named.orderBy(F.xxhash64("__id", F.lit(p.seed)), "__id").limit(p.sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).orderBy("__id").collect()  # sample rows at most
-    return fit([r["__text"] for r in rows], [r["__label"] for r in rows], p)
+    kind = texts.schema["__id"].dataType.simpleString()
+
+    def measure(batches):
+        for batch in batches:
+            x = features(batch.column(2), p)
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), p.slots).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["id", "label", "x"])
+
+    one = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    rows = one.mapInArrow(measure, f"id {kind}, label int, x array<float>").orderBy("id").toArrow()  # sample rows at most
+    x = np.concatenate([c.flatten().to_numpy() for c in rows.column("x").chunks] or [np.zeros(0, np.float32)]).reshape(len(rows), p.slots)
+    return fit(x, rows.column("label").to_pylist(), p)
 
 
 def score(docs: DataFrame, space: Space, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row, whole texts; null and empty texts are scored by their shape.
+    """(doc_id, held_out, score, predicted) of each row, whole texts. Null and empty texts have no terms: all voters are alike to them, and the share of label 1 is what they get.
 
     Repeated rows stay, null ids are allowed, empty tables give no rows. No other column is read.
     """
@@ -165,9 +148,8 @@ def score(docs: DataFrame, space: Space, *, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         s = sent.value
-        known = _Slots(s.params.slots - _SHAPES * _STEPS)
         for batch in batches:
-            got = s.vote(features(batch.column("text").to_pylist(), s.params, known))
+            got = s.vote(features(batch.column("text"), s.params))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got), pa.array((got >= s.params.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.session import materialize, scratch_path, shared_folder, table
+from cataloom.session import materialize, scratch_path, shared_folder, small_side, table
 
 __all__ = ["BYTES_PER_BATCH", "ROWS_PER_BATCH", "WORD", "batches_of", "larger", "lower_ascii", "materialize", "scratch_path", "shared_folder", "small_side", "split_words", "table", "words"]
 
@@ -56,8 +56,3 @@ def lower_ascii(column):
 def words(text: str | None) -> list[bytes]:
     """The words of WORD, as UTF-8: bytes.split() parts at just these six characters."""
     return text.encode().split() if text else []
-
-
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """df for a broadcast if it has at most that many rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

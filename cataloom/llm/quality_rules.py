@@ -2,7 +2,8 @@
 
 Each document is measured once and tested by a few rules. Failures of each rule are counted by host, each host's rate
 is shrunk towards all hosts' by a beta prior fitted to the hosts themselves, and the verdict on the host is joined back
-to its documents. A host of three pages of which two fail is thus judged mildly, one of a million pages by its own rate.
+to its documents. A host is rejected if even the low end of its posterior rate is well over the rate of the whole corpus, so
+one of three pages of which two fail is judged mildly, one of a million pages by its own rate.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm.common import batches_of, materialize, small_side, words
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,10 @@ class HostRules:
     max_repeat_percent: int = 50
     max_symbols_percent: int = 10
     max_dup_lines_percent: int = 30
-    #: A host goes when the shrunk rate of any rule's failures is over this.
-    max_host_rate: float = 0.5
+    #: A host goes when its rate of any rule's failures, tail standard deviations of the posterior below its mean, is over the
+    #: corpus' rate by more than this.
+    max_excess: float = 0.25
+    tail: float = 2.0
     #: Rejected hosts up to this many are broadcast (some 10 MB); more are joined by a shuffle.
     broadcast_hosts: int = 200_000
 
@@ -39,7 +42,7 @@ class HostRules:
             "few_words": n < self.min_words,
             "repeats": 100 * F.col("n_repeat_words") > self.max_repeat_percent * n,
             "symbols": 100 * F.col("n_symbols") > self.max_symbols_percent * n,
-            "dup_lines": 100 * F.col("n_dup_lines") > self.max_dup_lines_percent * n,
+            "dup_lines": 100 * F.col("n_dup_lines") > self.max_dup_lines_percent * F.col("n_lines"),
         }
 
 
@@ -73,10 +76,10 @@ def repeated_words(found: list[bytes]) -> int:
     return int(held.sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; null counts as empty."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word) of a text; null counts as empty."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     found = words(text)
     blank = sum(map(text.count, " \t\n\x0b\x0c\r"))
     seen: set[str] = set()
@@ -86,32 +89,34 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
             again += 1
         elif line.strip(" \t\n\x0b\x0c\r"):
             seen.add(line)
-    return len(found), len(text) - blank, sum(map(text.count, "#*$%&|<>")), again, repeated_words(found)
+    return len(found), len(text) - blank, sum(map(text.count, "#*$%&|<>")), again, repeated_words(found), again + len(seen)
 
 
-def _append_stats(batches):
-    for batch in batches:
-        rows = [measure(t) for t in batch.column("__text").to_pylist()]
-        columns = list(zip(*rows)) or [()] * 5
-        kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
-        names = [name for name in batch.schema.names if name != "__text"]
-        yield pa.RecordBatch.from_arrays(kept + [pa.array(c, pa.int64()) for c in columns], names + [x.split()[0] for x in STATS.split(", ")])
+def _appended(text: str, kept: list[str]):
+    """A function that measures a column of texts and puts the measures behind the columns kept."""
+
+    def run(batches):
+        for batch in batches:
+            columns = list(zip(*[measure(t) for t in batch.column(text).to_pylist()])) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, pa.int64()) for c in columns], kept + [x.split()[0] for x in STATS.split(", ")])
+
+    return run
 
 
 def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) for each row, whole texts.
+    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) for each row, whole texts.
 
     Null and empty texts count nothing. Repeated rows stay. Other columns of docs, whatever their names, are not read.
     """
     batches_of(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("__text")).mapInArrow(
-        _append_stats, f"doc_id {kind}, host string, {STATS}"
+        _appended("__text", ["doc_id", "host"]), f"doc_id {kind}, host string, {STATS}"
     )
 
 
 def host_verdicts(stats: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """(host, n_docs, <rule>_rate ..., host_rejected): one row for each host, null among them.
+    """(host, n_docs, <rule>_rate ..., host_rejected): one row for each host, null among them; rates are posterior means.
 
     The prior of each rule is a beta distribution fitted by moments: its mean is the rate over all documents, its
     weight follows from the spread of hosts' rates beyond what their sizes explain. One host, or hosts that do not
@@ -125,30 +130,31 @@ def host_verdicts(stats: DataFrame, rules: HostRules = HostRules()) -> DataFrame
         return hosts.select("host", "n_docs", *[F.lit(0.0).alias(f"{k}_rate") for k in failed], F.lit(False).alias("host_rejected"))
     mean = {k: total[k] / total["docs"] for k in failed}
     spread = hosts.agg(*[F.sum(n * (F.col(k) / n - mean[k]) ** 2).alias(k) for k in failed]).first()
-    rates = []
+    rates, over = [], []
     for k in failed:
         m, free = mean[k], total["hosts"] - 1
         left = m * (1 - m) * (total["docs"] - total["squares"] / total["docs"] - free)
         rho = (spread[k] - m * (1 - m) * free) / left if left > 0 else 0.0
         weight = 1 / min(max(rho, 1e-6), 0.999) - 1
-        rates.append(((F.col(k) + m * weight) / (n + weight)).alias(f"{k}_rate"))
-    rated = hosts.select("host", "n_docs", *rates)
-    return rated.withColumn("host_rejected", F.greatest(*[F.col(f"{k}_rate") for k in failed]) > rules.max_host_rate)
+        rate = (F.col(k) + m * weight) / (n + weight)
+        low = rate - rules.tail * F.sqrt(rate * (1 - rate) / (n + weight + 1))
+        rates.append(rate.alias(f"{k}_rate"))
+        over.append(low - m)
+    return hosts.select("host", "n_docs", *rates, (F.greatest(*over) > rules.max_excess).alias("host_rejected"))
 
 
 def host_quality(docs: DataFrame, rules: HostRules = HostRules(), **columns: str) -> DataFrame:
-    """Each document's measures with base_failed, host_rejected and kept.
+    """Each document's measures with its host's posterior rates, base_failed, host_rejected and kept.
 
     kept is false for documents that fail a base rule and for all documents of rejected hosts. Null hosts are one host
     of their own. Empty tables give no rows. The statistics are written to the shared folder once, so texts are read
-    once; only rejected hosts are joined back.
+    once; hosts' verdicts are broadcast if they are few enough, else joined by a shuffle whose hot hosts are split.
     """
     stats = materialize(document_stats(docs, **columns), "stats")
-    rejected = host_verdicts(stats, rules).where("host_rejected").select(F.col("host").alias("__host"), "host_rejected")
+    verdicts = materialize(host_verdicts(stats, rules).drop("n_docs").withColumnRenamed("host", "__host"), "verdicts")
     failed = rules.failures()
     return (
-        stats.join(small_side(rejected, rules.broadcast_hosts), F.col("host").eqNullSafe(F.col("__host")), "left")
-        .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+        stats.join(small_side(verdicts, rules.broadcast_hosts), F.col("host").eqNullSafe(F.col("__host")))
         .withColumn("base_failed", failed["few_words"] | failed["repeats"])
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
         .drop("__host")
@@ -156,19 +162,22 @@ def host_quality(docs: DataFrame, rules: HostRules = HostRules(), **columns: str
 
 
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that host_quality() keeps, with docs' own columns. Rows are judged one by one, so repeated ids do no harm."""
+    """The rows of docs that host_quality() keeps, with docs' own columns, whatever their names.
+
+    Rows are judged one by one, so repeated ids do no harm. Null and empty texts fail. Each text is measured once: rows and
+    measures are written to the shared folder together, and the hosts' verdicts come from there.
+    """
     names = docs.columns
     batches_of(docs.sparkSession)
-    verdicts = host_verdicts(materialize(document_stats(docs, id_col=id_col, text_col=text_col, host_col=host_col), "stats"), rules)
-    rejected = small_side(verdicts.where("host_rejected").select(F.col("host").alias("__host")), rules.broadcast_hosts)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, host = f"c{names.index(text_col)}", f"c{names.index(host_col)}"
-    kept_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+    measured = materialize(inner.mapInArrow(_appended(text, inner.columns), f"{types}, {STATS}"), "measured")
+    verdicts = host_verdicts(measured.withColumn("host", F.col(host).cast("string")), rules)
+    rejected = small_side(materialize(verdicts.where("host_rejected").select(F.col("host").alias("__host")), "rejected"), rules.broadcast_hosts)
     failed = rules.failures()
     return (
-        inner.withColumn("__text", F.col(text))
-        .mapInArrow(_append_stats, f"{kept_types}, {STATS}")
-        .where(~(failed["few_words"] | failed["repeats"]))
+        measured.where(~(failed["few_words"] | failed["repeats"]))
         .join(rejected, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left_anti")
         .select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
     )

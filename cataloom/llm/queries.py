@@ -17,19 +17,32 @@ TOKEN_LIMIT = 4096
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.host_quality(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rate = F.greatest(*[F.col(f"{rule}_rate") for rule in quality_rules.HostRules().failures()])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected", F.round(rate, 6).alias("host_rate"))
+
+
+def _arrivals(docs: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All rows as two batches that come one after the other, by a hash; rows of one id, null ones too, come together."""
+    first = F.xxhash64(column) < 0
+    return docs.where(first), docs.where(~first)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches through one cache: the second finds the texts of the first there."""
     cache = token_counts.DigestCache(spark, scratch_path(spark, "token-cache"))
-    found = token_counts.token_counts(table(spark, sf_dir, "documents"), cache, public_tokenizers.path(COUNT_MODEL))
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    found = [token_counts.token_counts(part, cache, public_tokenizers.path(COUNT_MODEL)) for part in _arrivals(table(spark, sf_dir, "documents"))]
+    return found[0].unionByName(found[1]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, of which the second is taken out and put in again, so that filters are probed, emptied and filled."""
     docs = table(spark, sf_dir, "documents")
+    first, second = _arrivals(docs)
     index = line_dedup.LineIndex(spark, scratch_path(spark, "lines"))
-    index.insert(docs)
+    index.insert(first)
+    index.insert(second)
+    index.delete(second.select("doc_id"))
+    index.insert(second)
     return line_dedup.cleaned(docs, index, digest=True)
 
 
@@ -53,7 +66,8 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"), "place")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,20 +93,21 @@ p AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
 tri AS (SELECT doc_id, i, x || ' ' || lead(x) OVER d || ' ' || lead(x, 2) OVER d AS g FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri WHERE g IS NOT NULL) WHERE c >= 2),
 cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n, count(*) AS all_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 s AS (SELECT w.doc_id, w.host, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
-  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(all_lines, 0) AS n_lines, coalesce(cover.n, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
 f AS (SELECT *, n_words < {_RULES.min_words} AS few, 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS rep,
-  100 * n_symbols > {_RULES.max_symbols_percent} * n_words AS sym, 100 * n_dup_lines > {_RULES.max_dup_lines_percent} * n_words AS dup FROM s),
+  100 * n_symbols > {_RULES.max_symbols_percent} * n_words AS sym, 100 * n_dup_lines > {_RULES.max_dup_lines_percent} * n_lines AS dup FROM s),
 h AS (SELECT host, r, count(*)::DOUBLE AS n, count(*) FILTER (b)::DOUBLE AS x FROM
   (SELECT host, unnest(['few', 'rep', 'sym', 'dup']) AS r, unnest([few, rep, sym, dup]) AS b FROM f) GROUP BY host, r),
 m AS (SELECT r, sum(n) AS docs, count(*) - 1 AS free, sum(n * n) AS sq, sum(x) / sum(n) AS m FROM h GROUP BY r),
 v AS (SELECT r, sum(n * (x / n - m) ** 2) AS v FROM h JOIN m USING (r) GROUP BY r),
 k AS (SELECT r, m, CASE WHEN m * (1 - m) * (docs - sq / docs - free) > 0 THEN (v - m * (1 - m) * free) / (m * (1 - m) * (docs - sq / docs - free)) ELSE 0 END AS rho FROM m JOIN v USING (r)),
 a AS (SELECT r, m, 1 / least(greatest(rho, 1e-6), 0.999) - 1 AS weight FROM k),
-bad AS (SELECT host, max((x + m * weight) / (n + weight)) > {_RULES.max_host_rate} AS bad FROM h JOIN a USING (r) GROUP BY host)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed, NOT (few OR rep) AND NOT bad AS kept
+p1 AS (SELECT host, m, n + weight AS w, (x + m * weight) / (n + weight) AS p FROM h JOIN a USING (r)),
+bad AS (SELECT host, max(p) AS rate, max(p - {_RULES.tail} * sqrt(p * (1 - p) / (w + 1)) - m) > {_RULES.max_excess} AS bad FROM p1 GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed, NOT (few OR rep) AND NOT bad AS kept, bad AS host_rejected, round(rate, 6) AS host_rate
 FROM f JOIN bad ON f.host IS NOT DISTINCT FROM bad.host"""
 
 OP3_SQL = r"""

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of, materialize
+from cataloom.llm.common import batches_of, materialize, small_side
 
+#: Digests of unknown texts that are broadcast (some 10 MB).
+BROADCAST_MISSES = 200_000
 #: Loaded tokenizers of this worker, by file.
 _LOADED: dict[str, object] = {}
 
@@ -89,11 +91,14 @@ def token_counts(docs: DataFrame, cache: DigestCache, model: str, *, id_col: str
     content = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
     keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
-    known = cache.read(version)
-    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known, "digest", "left_anti")
+    asked = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    known = materialize(cache.read(version).join(asked.select("digest"), "digest", "left_semi"), "known")
+    misses = materialize(asked.join(known, "digest", "left_anti").select(F.col("digest").alias("d"), "first_id"), "misses")
     texts = docs.select(F.col(id_col).alias("doc_id"), content.alias("content"), digest.alias("digest"))
-    chosen = texts.join(misses.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    # few misses are broadcast and no text is moved; many are joined by a shuffle of the texts
+    chosen = texts.join(small_side(misses, BROADCAST_MISSES), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     counts = chosen.select("digest", "content").mapInArrow(encode, cache.schema)
-    cache.append(counts.dropDuplicates(["digest"]), version)  # equal rows, id and all, are encoded each
-    stored = materialize(cache.read(version), "counts")  # a plain table beside the hot digests, so their join can be split
-    return keyed.join(stored, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")
+    new = materialize(counts.dropDuplicates(["digest"]), "counts")  # equal rows, id and all, are encoded each
+    cache.append(new, version)
+    # plain tables beside the hot digests, so their join can be split
+    return keyed.join(known.unionByName(new), "digest").select("doc_id", "digest", "n_bytes", "n_tokens")

@@ -1,8 +1,8 @@
 """Token ids as ORC: stripes with integer run-length encoding, row indexes, and Bloom filters on document ids.
 
 A written set is a folder of data/ (doc_id, part, local_start, n_tokens, token_ids), rows in ascending doc_id within
-and across parts, and manifest/ (part, base). A document starts at its part's base plus its local start, so stripes are
-read in parallel and none needs another to know where it is.
+and across parts or in the order given, and manifest/ (part, base). A document starts at its part's base plus its local start, so
+stripes are read in parallel and none needs another to know where it is.
 """
 
 from __future__ import annotations
@@ -186,39 +186,54 @@ def encoder(model: str) -> Encoder:
     return _LOADED[model]
 
 
-def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+_DATA = "doc_id long, part string, local_start long, n_tokens long, token_ids array<int>"
+
+
+def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_order: bool = False) -> None:
     """Encode whole texts and write them to folder in ascending doc_id, end_id after each document.
 
-    Null texts are empty and give the end id alone. Rows without an id come first. Rows of one id are ordered by a hash of
+    Null texts are empty and give the end id alone. Ids are whole numbers: what can't be cast to one counts as no id. Rows
+    without an id come first. Rows of one id are ordered by a hash of
     their text; equal rows keep any order, as they are equal. Empty tables give a folder without rows. Ranges of doc_id
-    are dealt by sampled bounds, and ties are broken by the hash, so a repeated id is no hot part.
+    are dealt by sampled bounds, and ties are broken by the hash, so a repeated id is no hot part. With keep_order rows stay
+    in the order of the files that docs was read from (file by file in the order of their names), and no text is moved.
     """
     spark = docs.sparkSession
     batches_of(spark)
 
     def encode(batches):
-        e, part, start = encoder(model), TaskContext.get().partitionId(), 0
+        e, task = encoder(model), f"{TaskContext.get().partitionId():09d}"
+        starts: dict[str, int] = {}
         for batch in larger(batches):
             flat, sizes = e.ragged(batch.column("text").fill_null(""), [end_id])
-            ends = np.cumsum(sizes)
+            ends, n = np.cumsum(sizes), batch.num_rows
+            starts_at = ends - sizes
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.view(np.int32)))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
-            start += int(ends[-1]) if n else 0
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    rows.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, token_ids array<int>").write.options(**ORC).orc(f"{folder}/data")
-    totals = spark.read.orc(f"{folder}/data").groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+            names = batch.column("part").to_pylist() if keep_order else [task] * n
+            cuts = [k for k in range(n) if not k or names[k] != names[k - 1]]
+            for a, b in zip(cuts, [*cuts[1:], n]):  # a run of rows of one part
+                start = starts.get(names[a], 0)
+                starts[names[a]] = start + int(ends[b - 1] - starts_at[a])
+                starts_at[a:b] += start - starts_at[a]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(starts_at), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
+
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if keep_order:
+        part = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"))
+        rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"), part.alias("part"))
+    else:
+        tie = F.xxhash64("text")
+        rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    rows.mapInArrow(encode, _DATA).write.options(**ORC).orc(f"{folder}/data")
+    totals = spark.read.schema(_DATA).orc(f"{folder}/data").groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
     totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")).write.parquet(f"{folder}/manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, token_ids) of a written set. A filter on doc_id reaches the row indexes and Bloom filters."""
-    data = spark.read.schema("doc_id long, part int, local_start long, n_tokens long, token_ids array<int>").orc(f"{folder}/data")
-    bases = small_side(spark.read.schema("part int, base long").parquet(f"{folder}/manifest"), BROADCAST_PARTS)
+    data = spark.read.schema(_DATA).orc(f"{folder}/data")
+    bases = small_side(spark.read.schema("part string, base long").parquet(f"{folder}/manifest"), BROADCAST_PARTS)
     return data.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "token_ids")
 
 

@@ -117,9 +117,8 @@ def test_mixing(spark, docs, rows):
 
 
 def test_split_is_exact(spark):
-    plan = mixing.MixPlan()
     quotas = {"a": 300, "b": 7, None: 41, "c": 0}
-    shares = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source string, quota long"), plan).collect()
+    shares = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 3, 17).collect()
     for s, q in quotas.items():
         assert sum(r.quota for r in shares if r.source == s) == q
     per_shard = Counter()
@@ -224,7 +223,7 @@ def test_quality_odd_rows(spark, docs, rows):
 def test_empty(spark, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_counts.token_counts(empty, token_counts.DigestCache(spark, scratch_path(spark, "c")), path).count() == 0
-    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), ([0.0] * 1024, 0.0)).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), ([0.0] * url_filter.Ngrams().slots, 0.0)).count() == 0
     assert katz.score(empty, katz.train(empty, scratch_path(spark, "k"))).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     token_output.write_tokens(empty, folder := scratch_path(spark, "o"), path)

@@ -176,7 +176,7 @@ def run_summary(spark, d):
 
 
 @query(f"""WITH w AS (SELECT p_partkey, p_name, p_type, lower(p_name) AS l, {_WORDS("p_name || ' the best x ' || p_type")} AS w FROM part), s AS (SELECT *, list_distinct(list_filter(w, lambda t: length(t) >= 2)) AS ws FROM w)
-SELECT p_partkey AS id, array_to_string(list_sort(ws), ',') AS words, array_to_string(list_sort(list_filter(ws, lambda t: length(t) >= 3 AND t NOT IN ('the', 'best'))), ',') AS significant, list_contains({_WORDS("p_name")}, 'bolt') AS has_word,
+SELECT p_partkey AS id, array_to_string(list_sort(ws), ',') AS words, array_to_string(list_sort(list_filter(ws, lambda t: length(t) >= 3 AND t NOT IN ('the', 'best', 'new'))), ',') AS significant, list_contains({_WORDS("p_name")}, 'bolt') AS has_word,
 contains(l, 'red') AND contains(l, 'bolt') AS has_all, l AS cache_key, CASE WHEN length(p_name) < length(p_type) THEN p_type ELSE p_name END AS better, CASE WHEN p_partkey % 2 = 0 THEN 'a|b c' END AS listed FROM s""")
 def text_library(spark, d):
     n, kind, k = F.col("p_name"), F.col("p_type"), F.col("p_partkey")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,13 +13,13 @@ from pyspark.sql import functions as F
 
 from cataloom.session import materialize, scratch_path, shared_folder, small_side, table
 
-__all__ = ["BYTES_PER_BATCH", "ROWS_PER_BATCH", "WORD", "batches_of", "larger", "lower_ascii", "materialize", "scratch_path", "shared_folder", "small_side", "split_words", "table", "words"]
+__all__ = ["BYTES_PER_BATCH", "ROWS_PER_BATCH", "WORD", "batches_of", "give_back", "larger", "lower_ascii", "materialize", "scratch_path", "shared_folder", "small_side", "split_words", "table", "words"]
 
 #: A word, as a pattern: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes in an Arrow batch: whichever is met first ends it, so long texts make no large batches.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 16 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 4 << 20
 
 
 def batches_of(spark: SparkSession) -> None:
@@ -38,6 +41,13 @@ def larger(batches, size: int = 8 << 20):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def give_back() -> None:
+    """Return memory that this worker's allocators hold but do not use: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of texts, the place of each word there in order, and the number of words of each text."""
     parts = pc.ascii_split_whitespace(texts.fill_null(""))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import batches_of, larger, small_side
+from cataloom.llm.common import batches_of, give_back, larger, small_side
 
 END_ID = 2
 #: What the ORC writer is told.
@@ -33,6 +33,8 @@ _UNCUT = rf"[{_WHITE}]{{3}}|[{_WHITE}]{{2}}\z"
 _PLAIN = rf"\A ?[^{_WHITE}]+\z"
 _ENDS_PLAIN = r"[\p{L}\p{N}]\z"
 _MARKS = ".,;:!?"
+#: Words that the library encodes in one call, and bytes of text that are worked on at once; both bound a worker's memory.
+_WORDS_PER_CALL, _AT_ONCE = 10_000, 3 << 20
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,8 @@ class Encoder:
         sizes, parts = np.zeros(len(words), np.int64), []
         joined = words.filter(pa.array(plain)).to_pylist()
         if joined:
-            ids = np.array(self._whole(["\n".join(joined) + "\n"])[0], np.uint32)
+            calls = ["\n".join(joined[k : k + _WORDS_PER_CALL]) + "\n" for k in range(0, len(joined), _WORDS_PER_CALL)]
+            ids = np.concatenate([np.array(self._whole([c])[0], np.uint32) for c in calls])
             line = ids == self.line
             sizes[plain] = np.diff(np.flatnonzero(line), prepend=-1) - 1
             parts.append(ids[~line])
@@ -204,7 +207,7 @@ def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_
     def encode(batches):
         e, task = encoder(model), f"{TaskContext.get().partitionId():09d}"
         starts: dict[str, int] = {}
-        for batch in larger(batches):
+        for batch in larger(batches, _AT_ONCE):
             flat, sizes = e.ragged(batch.column("text").fill_null(""), [end_id])
             ends, n = np.cumsum(sizes), batch.num_rows
             starts_at = ends - sizes
@@ -216,6 +219,8 @@ def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_
                 starts[names[a]] = start + int(ends[b - 1] - starts_at[a])
                 starts_at[a:b] += start - starts_at[a]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(starts_at), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
+            del flat, ids
+            give_back()
 
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if keep_order:

@@ -125,17 +125,15 @@ def test_index_compacts_and_deals_anew(spark, docs, rows, monkeypatch):
     index = line_dedup.LineIndex(spark, scratch_path(spark, "t"))
     index.insert(docs.where("doc_id < 20"))
     shards = index.state["shards"]
-    for low, high in ((20, 40), (40, 60), (60, 99)):
+    for low, high in ((20, 40), (40, 99)):
         index.insert(docs.where(f"doc_id >= {low} and doc_id < {high}"))
     assert index.state["shards"] > shards and len(index.state["refs"]) <= 2
     before = got(index.refs())
-    index.delete(docs.where("doc_id >= 40").select("doc_id"))
-    index.delete(spark.createDataFrame([(10**9,), (None,)], "doc_id long"))
+    index.delete(docs.where("doc_id >= 40").select("doc_id").unionByName(spark.createDataFrame([(10**9,), (None,)], "doc_id long")))
     held = index.filters().agg(F.sum("held")).first()[0]
     assert held == index.refs().count()  # dead keys have left the filters
-    index.insert(docs.where("doc_id >= 40"))
+    index.insert(docs)
     assert got(index.refs()) == before
-    index.insert(docs.where("doc_id is null or doc_id < 20"))
     assert got(line_dedup.cleaned(docs, index, digest=True)) == plain_lines(rows)
 
 
@@ -199,11 +197,11 @@ def test_url_training_against_numpy(spark):
 
 
 def test_url_held_out(spark):
-    """Four folds: rows are judged by models that have not seen them."""
+    """Two quarters of the rows are judged by models that have not seen them."""
     pairs = labelled()
     assert len(pairs) == len(set(pairs)) <= 200
     right = wrong = 0
-    for fold in range(4):
+    for fold in range(2):
         inside = [p for p in pairs if zlib.crc32(p[0].encode()) % 4 != fold]
         outside = [p for p in pairs if zlib.crc32(p[0].encode()) % 4 == fold]
         model = url_filter.train(spark.createDataFrame(inside, "url string, label int"))

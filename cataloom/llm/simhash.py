@@ -88,7 +88,8 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     distinct = distinct.repartition(parts, "fp")
     variants = deletion_variants(distinct)
     shared = variants.groupBy("key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = materialize(variants.join(shared, "key"), "buckets")
+    # Spark's estimates leave out that variants are 64 times the fingerprints, so without the hint it broadcasts all of them
+    buckets = materialize(variants.join(shared.hint("merge"), "key"), "buckets")
     stars = buckets.where((F.col("fp") != F.col("low")) & links(F.col("fp"), F.col("low"))).select(F.col("fp").alias("src"), F.col("low").alias("dst"))
     first = connected_components(stars)
     member = materialize(

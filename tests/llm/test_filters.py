@@ -160,6 +160,24 @@ def test_simhash_links(spark):
     assert groups(found) == groups(want)
 
 
+def _steps(monkeypatch):
+    """What fingerprint_components writes, by name."""
+    seen, write = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: seen.setdefault(name, df) and write(df, name))
+    return seen
+
+
+def test_simhash_broadcasts_no_variants(spark, monkeypatch):
+    """Estimates leave out that there are 64 variants of each fingerprint; a broadcast of them ends a small driver."""
+    steps = _steps(monkeypatch)
+    fps = spark.range(3000).selectExpr("xxhash64(id div 2) ^ (id % 2) as fp")
+    assert simhash.fingerprint_components(fps).select("component").distinct().count() == 1500
+    buckets = steps["buckets"]
+    assert buckets.count() == 3000 * 33  # one wild bit of the half that differs, all 32 of the other
+    buckets.collect()
+    assert "Broadcast" not in buckets._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):

@@ -5,14 +5,16 @@ differs in at most one bit. Each half is indexed 32 times, once with each bit wi
 index key exactly; equal keys are joined and the whole distance is verified.
 
 A bucket of k fingerprints never gives its k squared pairs. First each member is compared with the bucket's smallest;
-these verified links are contracted. Only members of buckets that still hold two components are compared further, and
-only across components, which cannot miss a link that matters: any linked pair shares a bucket, and either it is joined
-already or it is compared. There the other halves' bytes are the finer key: halves that differ in at most three bits share at
-least one of their four bytes.
+these verified links are contracted. Only fingerprints in buckets that still hold two components are compared further, each
+once, and only across components, which cannot miss a link that matters: any linked pair shares a bucket, and either it is
+joined already or it is compared. There variants with any three of the eight bytes deleted are the finer index: fingerprints
+that differ in at most three bits share at least five bytes.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -69,10 +71,12 @@ def deletion_variants(distinct: DataFrame) -> DataFrame:
     return distinct.select(F.explode(keys).alias("key"), "fp")
 
 
-def _bytes_of_other_half():
-    """The four bytes of the half that a key (key, fp) was not made of, as an array."""
-    other = F.when(F.col("key") < (1 << 37), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
-    return F.array(*[F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) for k in range(4)])
+def byte_variants(distinct: DataFrame) -> DataFrame:
+    """The rows of distinct with (place, part): 56 rows for each fp, part being fp with three of its bytes cleared and place saying which."""
+    masks = [sum(255 << 8 * k for k in kept) for kept in combinations(range(8), 8 - MAX_DISTANCE)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    found = distinct.select("*", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("place", "mask"))
+    return found.withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
 
 
 def links(a, b):
@@ -96,10 +100,12 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
         buckets.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "members"
     )
     mixed = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    rest = materialize(member.join(mixed, "key", "left_semi"), "mixed")
-    finer = rest.select("key", "fp", "root", F.posexplode(_bytes_of_other_half()).alias("place", "byte"))
-    other = finer.select("key", "place", "byte", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    across = finer.join(other, ["key", "place", "byte"]).where((F.col("root") < F.col("root2")) & links(F.col("fp"), F.col("fp2")))
+    rest = materialize(member.join(mixed, "key", "left_semi").select("fp", "root").distinct(), "mixed")
+    finer = byte_variants(rest)
+    crowded = finer.groupBy("place", "part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").drop("b")
+    # of two components one is not the bucket's smallest, so the smallest's members meet the others but not each other
+    later = finer.join(crowded.hint("merge"), ["place", "part"]).where("root > a").select("place", "part", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    across = finer.join(later.hint("merge"), ["place", "part"]).where((F.col("root") < F.col("root2")) & links(F.col("fp"), F.col("fp2")))
     second = connected_components(across.select(F.col("root").alias("src"), F.col("root2").alias("dst")))
     labelled = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     top = second.select(F.col("node").alias("root"), F.col("root").alias("top"))

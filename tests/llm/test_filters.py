@@ -178,6 +178,21 @@ def test_simhash_broadcasts_no_variants(spark, monkeypatch):
     assert "Broadcast" not in buckets._jdf.queryExecution().executedPlan().toString()
 
 
+def test_simhash_compares_each_once(spark, monkeypatch):
+    """A large group of near copies: what its mixed buckets hold is compared once a fingerprint, not once a bucket."""
+    import random
+
+    rng, steps = random.Random(4), _steps(monkeypatch)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(2, 7))) for _ in range(700)}
+    signed = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    found = {r.fp % 2**64: r.component for r in simhash.fingerprint_components(spark.createDataFrame(signed, "fp long")).collect()}
+    want = plain_components(fps)
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    assert groups(found) == groups(want) and len(groups(want)) > 1
+    assert 0 < steps["mixed"].count() <= len(fps)
+
+
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):

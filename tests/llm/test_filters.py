@@ -178,6 +178,18 @@ def test_simhash_broadcasts_no_variants(spark, monkeypatch):
     assert "Broadcast" not in buckets._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pipeline_broadcasts_no_variants(spark, monkeypatch):
+    """The pipeline's second stage: copies are dropped, and no join on the way broadcasts the variants."""
+    import corpus_pipeline
+
+    steps = _steps(monkeypatch)
+    texts = [" ".join(f"w{(7 * i + k * k) % 997}" for k in range(300)) for i in range(200)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts[:50]])], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").where("doc_id >= 200").isEmpty()
+    steps["buckets"].collect()
+    assert "Broadcast" not in steps["buckets"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_compares_each_once(spark, monkeypatch):
     """A large group of near copies: what its mixed buckets hold is compared once a fingerprint, not once a bucket."""
     import random

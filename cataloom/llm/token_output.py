@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,14 @@ _WHITE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 #: Texts that are not cut: three or more white spaces in a row, or two at the end, may be one piece of the pre-tokenizer.
 _UNCUT = rf"[{_WHITE}]{{3}}|[{_WHITE}]{{2}}\z"
 _PLAIN = rf"\A ?[^{_WHITE}]+\z"
+#: Words that the pre-tokenizer leaves whole: a space or none, then letters of these blocks, which all versions of Unicode agree on.
+_LETTERS = r"\A ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+\z"
 _ENDS_PLAIN = r"[\p{L}\p{N}]\z"
 _MARKS = ".,;:!?"
 #: Words that the library encodes in one call, and bytes of text that are worked on at once; both bound a worker's memory.
 _WORDS_PER_CALL, _AT_ONCE = 10_000, 3 << 20
+#: Batches after which a worker returns unused memory, as it does at a task's end; pages that come and go cost time.
+_GIVE_BACK = 8
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +55,27 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, from its bytes and their places."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    sizes = np.diff(offsets)
+    place = np.arange(len(raw))
+    place -= np.repeat(offsets[:-1] - offsets[0], sizes)
+    factors = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    raw += np.uint64(1)
+    raw *= factors[place]
+    sums = np.r_[np.uint64(0), np.cumsum(raw)]
+    at = offsets - offsets[0]
+    return sums[at[1:]] - sums[at[:-1]]
+
+
 class _Known:
-    """Ids of words met before, as columns; the words of older batches go when there are too many."""
+    """Ids of words met before, as columns, found by hashes of the words. A word whose hash another one has is encoded each time.
+
+    When there are too many, words that were met in one batch only go, and if that is not enough, all but those of the
+    batch at hand.
+    """
 
     MOST = 500_000
 
@@ -59,21 +83,49 @@ class _Known:
         self.encode = encode
         self.words = pa.array([], pa.string())
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.met = np.zeros(0, np.uint8)  # batches that met a word again, halved each time that words go
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in ascending order of the hashes
+
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Where the words are, or -1."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = np.where(self.hashes[near] == hashes, self.places[near], -1)
+        hit = np.flatnonzero(at >= 0)
+        other = pc.not_equal(self.words.take(pa.array(at[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        at[hit[other]] = -1
+        return at
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one after another, and their number for each word."""
-        at = pc.index_in(words, value_set=self.words)
-        new = at.is_null().to_numpy(zero_copy_only=False)
-        at = at.fill_null(-1).to_numpy().astype(np.int64)
-        flat, sizes = self.encode(words.filter(pa.array(new)))
+        hashes = _hashes(words)
+        order = np.argsort(hashes)
+        words, hashes = words.take(pa.array(order)), hashes[order]  # neighbours are looked up near each other
+        at = self._find(words, hashes)
+        new = at < 0
+        unknown, old = words.filter(pa.array(new)), at[~new]
+        flat, sizes = self.encode(unknown)
+        self.met[old] = np.minimum(self.met[old] + 1, 15)
         if len(self.words) + len(sizes) > self.MOST:
-            self.flat, self.sizes = _gather(_starts(self.sizes), self.sizes, self.flat, at[~new])
-            self.words = words.filter(pa.array(~new))
-            at[~new] = np.arange(len(self.words))
+            kept = self.met > 0
+            if np.count_nonzero(kept) + len(sizes) > self.MOST:
+                kept = np.zeros(len(self.words), bool)
+                kept[old] = True
+            self.flat, self.sizes = self.flat[np.repeat(kept, self.sizes)], self.sizes[kept]
+            self.words, self.met = self.words.filter(pa.array(kept)), self.met[kept] // 2
+            moved, still = np.cumsum(kept) - 1, kept[self.places]
+            self.hashes, self.places = self.hashes[still], moved[self.places[still]]
+            at[~new] = moved[old]
         at[new] = len(self.words) + np.arange(len(sizes))
-        self.words = pa.concat_arrays([self.words, words.filter(pa.array(new))])
+        self.words = pa.concat_arrays([self.words, unknown])
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-        return _gather(_starts(self.sizes), self.sizes, self.flat, at)
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.uint8)])
+        into = np.searchsorted(self.hashes, hashes[new])
+        self.hashes, self.places = np.insert(self.hashes, into, hashes[new]), np.insert(self.places, into, at[new])
+        back = np.empty(len(order), np.int64)
+        back[order] = at
+        return _gather(_starts(self.sizes), self.sizes, self.flat, back)
 
 
 class Encoder:
@@ -81,7 +133,8 @@ class Encoder:
 
     A byte-level pre-tokenizer gives a line break between two words a piece of its own and a space to the word after it, as
     long as white space stands in runs of two at most. So texts are cut at line breaks and spaces, and their distinct words
-    are encoded by the library once while they are remembered, many in one call with a line break after each. Marks at
+    are encoded by the library once while they are remembered, many in one call with a line break after each. Words of letters
+    alone are one piece, so they pass by the pre-tokenizer's pattern: the library's model gets them cut at the line breaks. Marks at
     a word's end are pieces of their own too. Texts with longer runs or added tokens, and all texts of other tokenizers, are encoded whole.
     """
 
@@ -93,13 +146,15 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         added = self.library.get_added_tokens_decoder().values()
-        self.cut = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.library.pre_tokenizer.add_prefix_space and self.library.normalizer is None
+        self.cut = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.library.pre_tokenizer.add_prefix_space and self.library.pre_tokenizer.use_regex and self.library.normalizer is None
         self.cut = self.cut and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"[\s.,;:!?]", t.content) or t.content[-1:].isalnum() for t in added)
         line = self._whole(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
         self.cut = self.cut and self.line is not None
         #: Added tokens part a text before all else, so texts that hold one are not cut either.
         self.uncut = "|".join([_UNCUT, *[re.escape(t.content) for t in added]])
+        self.letters = Tokenizer(self.library.model)  # the same model, not a copy
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), pre_tokenizers.Split("Ċ", "isolated")])
         self.known = _Known(self._encode_words)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -107,33 +162,43 @@ class Encoder:
 
     def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each with the space before it if it has one."""
-        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
-        sizes, parts = np.zeros(len(words), np.int64), []
-        joined = words.filter(pa.array(plain)).to_pylist()
-        if joined:
-            calls = ["\n".join(joined[k : k + _WORDS_PER_CALL]) + "\n" for k in range(0, len(joined), _WORDS_PER_CALL)]
-            ids = np.concatenate([np.array(self._whole([c])[0], np.uint32) for c in calls])
-            line = ids == self.line
-            sizes[plain] = np.diff(np.flatnonzero(line), prepend=-1) - 1
-            parts.append(ids[~line])
-        odd = self._whole(words.filter(pa.array(~plain)).to_pylist())
-        sizes[~plain] = [len(x) for x in odd]
-        parts.append(np.array([i for x in odd for i in x], np.uint32))
-        order = np.argsort(np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)], kind="stable")
-        moved = np.r_[sizes[plain], sizes[~plain]]
-        return _gather(_starts(moved), moved, np.concatenate(parts), order)
+        letters = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False) & ~letters
+        places, found = [], []
+        for library, which in ((self.letters, letters), (self.library, plain)):
+            places.append(np.flatnonzero(which))
+            found.append(self._joined(library, words.filter(pa.array(which))))
+        places.append(np.flatnonzero(~letters & ~plain))
+        odd = self._whole(words.take(pa.array(places[-1])).to_pylist())
+        found.append((np.array([i for x in odd for i in x], np.uint32), np.array([len(x) for x in odd], np.int64)))
+        moved = np.concatenate([n for _, n in found])
+        return _gather(_starts(moved), moved, np.concatenate([x for x, _ in found]), np.argsort(np.concatenate(places), kind="stable"))
+
+    def _joined(self, library, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space but the space before them, many in a call with a line break after each."""
+        ids = [np.zeros(0, np.uint32)]
+        for k in range(0, len(words), _WORDS_PER_CALL):
+            some = words.slice(k, _WORDS_PER_CALL)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), "\n")[0].as_py() + "\n"
+            ids.append(np.frombuffer(array("I", library.encode_batch_fast([text], add_special_tokens=False)[0].ids), np.uint32))
+        flat = np.concatenate(ids)
+        line = flat == self.line
+        return flat[~line], np.diff(np.flatnonzero(line), prepend=-1) - 1
 
     def _word_ids(self, words: pa.Array, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each after a space but those that are bare: those of its stem, then those of its marks."""
         stems = pc.ascii_rtrim(words, _MARKS)
         cut = pc.match_substring_regex(stems, _ENDS_PLAIN)
         stems = pc.if_else(cut, stems, words)
-        marks = pc.if_else(cut, pc.struct_field(pc.extract_regex(words, rf"(?P<m>[{_MARKS}]*)\z"), 0), "")
+        marked = pc.not_equal(stems, words)
+        marks = pc.struct_field(pc.extract_regex(words.filter(marked), rf"(?P<m>[{_MARKS}]*)\z"), 0)
         stems = pc.if_else(pa.array(bare), stems, pc.binary_join_element_wise(" ", stems, ""))
-        both = pc.dictionary_encode(pa.concat_arrays([stems, marks]))
+        both = pc.dictionary_encode(pa.concat_arrays([stems, marks, pa.array([""])]))
         flat, sizes = self.known.ids(both.dictionary)
-        at = both.indices.to_numpy()
-        at = np.stack([at[: len(words)], at[len(words) :]], 1)
+        found = both.indices.to_numpy()
+        at = np.full((len(words), 2), found[-1], np.int64)
+        at[:, 0] = found[: len(words)]
+        at[marked.to_numpy(zero_copy_only=False), 1] = found[len(words) : -1]
         flat, _ = _gather(_starts(sizes), sizes, flat, at.ravel())
         return flat, sizes[at].sum(1)
 
@@ -207,20 +272,22 @@ def write_tokens(docs: DataFrame, folder: str, model: str, *, end_id: int = END_
     def encode(batches):
         e, task = encoder(model), f"{TaskContext.get().partitionId():09d}"
         starts: dict[str, int] = {}
-        for batch in larger(batches, _AT_ONCE):
+        for k, batch in enumerate(larger(batches, _AT_ONCE)):
             flat, sizes = e.ragged(batch.column("text").fill_null(""), [end_id])
             ends, n = np.cumsum(sizes), batch.num_rows
             starts_at = ends - sizes
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.view(np.int32)))
             names = batch.column("part").to_pylist() if keep_order else [task] * n
-            cuts = [k for k in range(n) if not k or names[k] != names[k - 1]]
+            cuts = [i for i in range(n) if not i or names[i] != names[i - 1]]
             for a, b in zip(cuts, [*cuts[1:], n]):  # a run of rows of one part
                 start = starts.get(names[a], 0)
                 starts[names[a]] = start + int(ends[b - 1] - starts_at[a])
                 starts_at[a:b] += start - starts_at[a]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(starts_at), pa.array(sizes), ids], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
             del flat, ids
-            give_back()
+            if k % _GIVE_BACK == _GIVE_BACK - 1:
+                give_back()
+        give_back()
 
     rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if keep_order:

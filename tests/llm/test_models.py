@@ -201,6 +201,30 @@ def test_encoder_agrees(spark, sf):
     assert not other.cut and len(other.encode(["Hello there"])[0]) == 8
 
 
+def test_encoder_remembers():
+    """Words met in several batches stay when there are too many, where only those of the batch at hand did."""
+    e, encoded = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain, e.known.MOST = e.known.encode, 300
+    e.known.encode = lambda words: (encoded.extend(words.to_pylist()), plain(words))[1]
+    common = " ".join(f"often{chr(97 + k)}" for k in range(20))
+    texts = [common, common, *[" ".join(f"rare{k}x{i}" for i in range(100)) for k in range(3)], common]
+    assert [g + b"\2\0\0\0" for t in texts for g in e.encode([t])] == plain_ids(texts)
+    assert encoded.count(" oftenc") == 1 and encoded.count(" rare0x5") == 1 and len(e.known.words) <= 300
+
+
+def test_encoder_same_hashes(spark, sf, monkeypatch):
+    """Words of one hash are told apart, and words of letters alone have the library's ids."""
+    texts = [r.text for r in table(spark, sf, "documents").select("text").limit(60).collect()]
+    texts += ["", "Ċ ĊĊ Ġa", "straße, Ærø ÿ ſ µm ªº × ÷ ×a a÷", "e\u0301t\u00e9 ﬁx", "don't 'tis 's", "日本 Ελλάδα слово", "a1 1a A", "x" * 5000, "é" * 3000]
+    plain = token_output._hashes
+    monkeypatch.setattr(token_output, "_hashes", lambda words: plain(words) % np.uint64(97))
+    e = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for most in (500, 50):
+        e.known.MOST = most
+        got = [x for k in range(0, len(texts), 7) for x in e.encode(texts[k : k + 7])]
+        assert [g + b"\2\0\0\0" for g in got] == plain_ids(texts)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
